@@ -238,7 +238,7 @@ def quality_counts(spark, sf):
 def _profile_sql(name: str, expr: str) -> str:
     return f"""SELECT '{name}' AS measure, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v)::BIGINT AS min,
     quantile_cont(v, 0.25)::DOUBLE AS p25, quantile_cont(v, 0.5)::DOUBLE AS p50, quantile_cont(v, 0.75)::DOUBLE AS p75, max(v)::BIGINT AS max
-    FROM (SELECT ({expr})::DOUBLE AS v FROM documents)"""
+    FROM (SELECT ({expr})::DOUBLE AS v FROM documents WHERE {q.strong('text')} <> '' AND {q.light('text')} <> '')"""
 
 
 @check(

@@ -5,16 +5,19 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What counts as a URL, an e-mail address and a kept character.
 URL = r"(?U)http\S+|www\.\S+"
 EMAIL = r"(?U)\S+@\S+\.\S+"
-NOT_KEPT = r"[^0-9A-Za-zÄÖÜäöüß ]+"
-NOT_KEPT_OR_SPACE = r"[^0-9A-Za-zÄÖÜäöüß]+"
+# The kept characters are spelled out: Java looks single characters up in a table, ranges one by one.
+KEPT = string.digits + string.ascii_letters + "ÄÖÜäöüß"
+NOT_KEPT = f"[^{KEPT} ]+"
+NOT_KEPT_OR_SPACE = f"[^{KEPT}]+"
 NBSP = "\u00a0"
 
 
@@ -31,12 +34,19 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
 
 
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns behind a one-row generator, so a filter above cannot copy their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def strip_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL, " ")
+    """A plain substring test spares the pattern for texts that cannot match."""
+    may_match = F.contains(text, F.lit("http")) | F.contains(text, F.lit("www."))
+    return F.when(may_match, F.regexp_replace(text, URL, " ")).otherwise(text)
 
 
 def strip_emails(text: Column) -> Column:
-    return F.regexp_replace(text, EMAIL, " ")
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
 
 
 def strip_symbols(text: Column) -> Column:
@@ -47,41 +57,57 @@ def collapse_spaces(text: Column) -> Column:
     return trim_any(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def without_noise(text: Column) -> Column:
+    """URLs out first, then e-mails; text without an ``@`` has none before and after."""
+    no_urls = strip_urls(text_or_empty(text))
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(no_urls, EMAIL, " ")).otherwise(no_urls)
+
+
 def normalise(text: Column) -> Column:
     """URLs, e-mails and symbols out, single spaces between words.
 
     After the symbols are gone the space is the only whitespace left, so one pattern does both steps.
     """
-    bare = strip_emails(strip_urls(text_or_empty(text)))
-    return F.trim(F.regexp_replace(bare, NOT_KEPT_OR_SPACE, " "))
+    return F.trim(F.regexp_replace(without_noise(text), NOT_KEPT_OR_SPACE, " "))
+
+
+def raw_words(text: Column) -> Column:
+    """The words of the normalised text; the first and the last may be empty."""
+    return F.split(without_noise(text), NOT_KEPT_OR_SPACE)
 
 
 def words(text: Column) -> Column:
-    """Split on single spaces; empty text has no words."""
+    """Split cleaned text on single spaces; empty text has no words."""
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def _is_digits(word: Column) -> Column:
-    return word.rlike("^[0-9]+$")
+def light_words(found: Column) -> Column:
+    """One-letter alphabetic words go, single digits stay."""
+    return F.filter(found, lambda w: (F.length(w) > 1) | ((w >= "0") & (w <= "9")))
 
 
 def light_tokens(text: Column, lowercase: bool = True) -> Column:
-    """Light cleaning as tokens: one-letter alphabetic words go, single digits stay."""
-    clean = normalise(text)
-    clean = F.lower(clean) if lowercase else clean
-    return F.filter(
-        F.split(clean, " "),
-        lambda w: (F.length(w) > 1) | ((w >= "0") & (w <= "9")),
-    )
+    """Light cleaning as tokens."""
+    kept = light_words(raw_words(text))
+    return F.transform(kept, F.lower) if lowercase else kept
+
+
+def light_text(found: Column, lowercase: bool = True) -> Column:
+    joined = F.array_join(light_words(found), " ")
+    return F.lower(joined) if lowercase else joined
 
 
 def clean_light(text: Column, lowercase: bool = True) -> Column:
-    return F.array_join(light_tokens(text, lowercase), " ")
+    return light_text(raw_words(text), lowercase)
+
+
+def candidate_words(found: Column) -> Column:
+    """Words that may be lemmatised: neither empty nor pure digits, in their original case."""
+    return F.filter(found, lambda w: F.ltrim(w, F.lit(string.digits)) != "")
 
 
 def strong_candidates(text: Column) -> Column:
-    """Words that may be lemmatised: everything but pure digits, in their original case."""
-    return F.filter(F.split(normalise(text), " "), lambda w: (w != "") & ~_is_digits(w))
+    return candidate_words(raw_words(text))
 
 
 def keep_lemmas(lemmas: Column, stopwords: Iterable[str]) -> Column:
@@ -90,12 +116,14 @@ def keep_lemmas(lemmas: Column, stopwords: Iterable[str]) -> Column:
     return F.filter(lemmas, lambda w: (F.length(w) >= 3) & ~w.isin(stop))
 
 
-def strong_tokens(text: Column, stopwords: Iterable[str], lowercase: bool = True) -> Column:
+def strong_words(found: Column, stopwords: Iterable[str], lowercase: bool = True) -> Column:
     """Strong cleaning with the identity lemmatiser; see ``operators.lexicon`` for a lexicon."""
-    found = strong_candidates(text)
-    if lowercase:
-        found = F.transform(found, F.lower)
-    return keep_lemmas(found, stopwords)
+    lemmas = candidate_words(found)
+    return keep_lemmas(F.transform(lemmas, F.lower) if lowercase else lemmas, stopwords)
+
+
+def strong_tokens(text: Column, stopwords: Iterable[str], lowercase: bool = True) -> Column:
+    return strong_words(raw_words(text), stopwords, lowercase)
 
 
 def clean_strong(text: Column, stopwords: Iterable[str], lowercase: bool = True) -> Column:

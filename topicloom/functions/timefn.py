@@ -18,7 +18,7 @@ def to_iso(ts: Column) -> Column:
 def whole_days(start: Column, end: Column) -> Column:
     """Complete days between two timestamps, never negative."""
     return F.greatest(
-        F.floor((F.unix_micros(end) - F.unix_micros(start)) / F.lit(86_400_000_000)), F.lit(0)
+        F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(86_400_000_000)), F.lit(0)
     ).cast("long")
 
 

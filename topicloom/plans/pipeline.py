@@ -36,18 +36,17 @@ def clean_corpus(
     """
     stop = strong_stopwords() if stopwords is None else list(stopwords)
     base = records.select(id_column, tx.text_or_empty(F.col(text)).alias("description"))
-    light = tx.clean_light(F.col("description"), lowercase)
+    base = tx.compute_once(base, {"_words": tx.raw_words(F.col("description"))})
+    light = tx.light_text(F.col("_words"), lowercase)
     if lexicon is None:
-        out = base.withColumns(
-            {"strong_text": tx.clean_strong(F.col("description"), stop, lowercase), "light_text": light}
-        )
+        strong = F.array_join(tx.strong_words(F.col("_words"), stop, lowercase), " ")
+        out = tx.compute_once(base, {"strong_text": strong, "light_text": light})
     else:
-        words = lx.positioned(base, tx.strong_candidates(F.col("description")), id_column)
+        words = lx.positioned(base, tx.candidate_words(F.col("_words")), id_column)
         kept = lx.strong_lemmas(words, lexicon, stop, lowercase)
         strong = lx.recollect(kept, "lemma", id_column).select(id_column, F.array_join("tokens", " ").alias("strong_text"))
-        out = base.withColumn("light_text", light).join(strong, id_column).select(
-            id_column, "description", "strong_text", "light_text"
-        )
+        out = tx.compute_once(base, {"light_text": light}).join(strong, id_column)
+    out = out.select(id_column, "description", "strong_text", "light_text")
     return out.where(drop_blank_both())
 
 

@@ -31,6 +31,16 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHE
     return keep_text(rows.select(*[c for c in header.columns if c in types]))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a small input that comes in fewer splits than there are cores.
+
+    A file with one row group is one task however much work its texts cause. Large inputs have
+    more splits than cores and stay as they are: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, key)
+
+
 def keep_text(df: DataFrame, text: str = "description") -> DataFrame:
     """Require the text column and turn its nulls into empty text."""
     return require_columns(df, [text], "raw records").withColumn(text, text_or_empty(F.col(text)))

@@ -26,10 +26,15 @@ def plan_year_windows(bounds: DataFrame, start: str = "start", end: str = "end")
     )
 
 
+def _micros(ts: str):
+    """Microseconds since the epoch; sessions run in UTC, so times with and without a zone agree."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def split_at_days(windows: DataFrame, max_days: int = 90) -> DataFrame:
     """Cut windows longer than ``max_days`` whole days into pieces of that length."""
     step = F.lit(max_days * DAY_MICROS)
-    lo, hi = F.unix_micros("win_start"), F.unix_micros("win_end")
+    lo, hi = _micros("win_start"), _micros("win_end")
     # A rest of at most max_days whole days is not cut again, so it may reach max_days + 1.
     over = F.greatest(whole_days(F.col("win_start"), F.col("win_end")) - F.lit(max_days), F.lit(0))
     pieces = F.ceil(over / F.lit(max_days)).cast("long")
@@ -74,7 +79,7 @@ def adaptive_time_bins(
         "*", F.explode(F.expr(f"sequence(lo div {DAY_MICROS}, (hi - 1) div {DAY_MICROS})")).alias("day")
     )
     times = (
-        records.select(F.unix_micros(ts).alias("at"))
+        records.select(_micros(ts).alias("at"))
         .where(F.col("at").isNotNull())
         .groupBy("at").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("day", F.expr(f"at div {DAY_MICROS}"))
