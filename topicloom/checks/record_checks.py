@@ -132,9 +132,9 @@ o AS (
 """
 LATEST_SQL = "SELECT * FROM {} QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC NULLS FIRST, seq DESC) = 1"
 SLICES_SQL = f"""{ORDERS_SQL},
-dated AS (SELECT * FROM o WHERE ts IS NOT NULL),
-op AS (SELECT * FROM ({LATEST_SQL.format("(SELECT * FROM dated WHERE seq % 3 <> 0)")}) WHERE lower(trim(status)) = 'open'),
-cl AS (SELECT * FROM ({LATEST_SQL.format("(SELECT * FROM dated WHERE seq % 3 <> 1)")}) WHERE lower(trim(status)) = 'closed'),
+dated AS (SELECT id, seq, o_orderdate AS ts, status FROM o JOIN orders ON o_orderkey = seq),
+op AS (SELECT * FROM ({LATEST_SQL.format("(SELECT * FROM dated WHERE status <> 'CLOSED')")}) WHERE lower(trim(status)) = 'open'),
+cl AS (SELECT * FROM ({LATEST_SQL.format("(SELECT * FROM dated WHERE status = 'CLOSED')")}) WHERE lower(trim(status)) = 'closed'),
 merged AS (
   SELECT id, seq, ts, status FROM (SELECT *, 0 AS part FROM op UNION ALL SELECT *, 1 AS part FROM cl)
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC NULLS FIRST, part DESC, seq DESC) = 1
@@ -142,19 +142,19 @@ merged AS (
 """
 
 
-def dated(spark: SparkSession, sf: str) -> DataFrame:
+def dated(spark: SparkSession, sf: str, null_pending: bool = True) -> DataFrame:
     return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"),
-        F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("ts"),
+        F.when((F.col("o_orderstatus") != "P") | F.lit(not null_pending), F.col("o_orderdate")).alias("ts"),
         F.when(F.col("o_orderstatus") == "O", " Open ").when(F.col("o_orderstatus") == "F", "CLOSED").otherwise("pending").alias("status"),
     )
 
 
 def slices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two overlapping fetches of the dated records, as an open and a closed request would return."""
-    rows = dated(spark, sf).where("ts is not null")
+    """The records as two requests return them: one for open ones (pending rows slip in), one for closed ones."""
+    rows = dated(spark, sf, null_pending=False)
     latest = lambda df, s: dd.latest_with_status(df, "id", "ts", "seq", "status", s)
-    return latest(rows.where("seq % 3 <> 0"), "open"), latest(rows.where("seq % 3 <> 1"), "closed")
+    return latest(rows.where("status <> 'CLOSED'"), "open"), latest(rows.where("status = 'CLOSED'"), "closed")
 
 
 @check("keep_latest", f"WITH {ORDERS_SQL} {LATEST_SQL.format('o')}")
