@@ -9,6 +9,17 @@ from topicloom.session import cut_lineage
 
 # A hub holds at least this share of all edge ends, so there are at most 2 / share of them.
 HUB_SHARE = 1e-3
+# Below this many edges no task can be overloaded, and the hubs need no care.
+SMALL_GRAPH = 1_000_000
+
+
+def _minimum(edges: DataFrame, both_ways: bool) -> DataFrame:
+    """Smallest neighbour (or self) and degree per node, combined map-side."""
+    ends = edges.select(F.col("hi").alias("node"), F.col("lo").alias("other"))
+    if both_ways:
+        ends = ends.unionByName(edges.select(F.col("lo").alias("node"), F.col("hi").alias("other")))
+    found = ends.groupBy("node").agg(F.min("other").alias("m"), F.count(F.lit(1)).alias("degree"))
+    return found.withColumn("m", F.least("node", "m"))
 
 
 def _attach_minimum(edges: DataFrame, minimum: DataFrame, key: str, total: int) -> DataFrame:
@@ -17,63 +28,51 @@ def _attach_minimum(edges: DataFrame, minimum: DataFrame, key: str, total: int)
     The few hubs (bounded by ``HUB_SHARE``) go by broadcast, so the edges of a hub stay where
     they are; all other nodes go by a shuffle join.
     """
-    bar = max(1000, int(total * HUB_SHARE))
-    hubs = F.broadcast(minimum.where(F.col("degree") >= bar))
-    others = minimum.where(F.col("degree") < bar)
     named = lambda m: m.select(F.col("node").alias(key), "m")
-    via_hub = edges.join(F.broadcast(named(hubs)), key)
-    rest = edges.join(F.broadcast(named(hubs).select(key)), key, "left_anti").join(named(others), key)
+    if total < SMALL_GRAPH:
+        return edges.join(named(minimum), key)
+    minimum = cut_lineage(minimum)
+    is_hub = F.col("degree") >= int(total * HUB_SHARE)
+    hubs, others = named(minimum.where(is_hub)), named(minimum.where(~is_hub))
+    via_hub = edges.join(F.broadcast(hubs), key)
+    rest = edges.join(F.broadcast(hubs.select(key)), key, "left_anti").join(others, key)
     return via_hub.unionByName(rest)
 
 
-def _minimum(edges: DataFrame, both_ways: bool) -> DataFrame:
-    """Smallest neighbour (or self) and degree per node, combined map-side."""
-    ends = edges.select(F.col("hi").alias("node"), F.col("lo").alias("other"))
-    if both_ways:
-        ends = ends.unionByName(edges.select(F.col("lo").alias("node"), F.col("hi").alias("other")))
-    found = ends.groupBy("node").agg(F.min("other").alias("m"), F.count(F.lit(1)).alias("degree"))
-    return found.withColumn("m", F.least("node", "m"))
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either has exactly one smaller neighbour and no larger one, or only larger ones."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node with an edge; the component is its smallest node.
 
-    Each round rewires edges towards the smallest known node. Edge tables are materialised, so
-    a lost executor costs one round at most. Nodes on a self-loop only keep their own id.
+    Each round rewires edges towards the smallest known node, until every component is a star.
+    The edges are a written table after each step, so a lost executor costs one step at most.
     """
     pairs = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
-    alone = pairs.where("hi = lo").select(F.col("hi").alias("node"))
+    alone = pairs.where("hi = lo").select(F.col("hi").alias("node")).distinct()
     current = cut_lineage(pairs.where("hi > lo").distinct())
-    size = current.count()
-    signature = None
     for _ in range(max_rounds):
-        if size == 0:
+        if _are_stars(current):
             break
+        size = current.count()
         # Large star: larger neighbours of a node move to its minimum.
-        minimum = cut_lineage(_minimum(current, both_ways=True))
-        large = (
-            _attach_minimum(current, minimum, "lo", size)
-            .select("hi", F.col("m").alias("lo"))
-            .where("hi > lo").distinct()
-        )
-        large = cut_lineage(large)
-        # Small star: smaller neighbours of a node, and the node, move to its minimum.
-        minimum = _minimum(large, both_ways=False)
-        small = _attach_minimum(large, cut_lineage(minimum), "hi", size)
+        large = _attach_minimum(current, _minimum(current, both_ways=True), "lo", size)
+        large = cut_lineage(large.select("hi", F.col("m").alias("lo")).where("hi > lo").distinct())
+        # Small star: the node and its smaller neighbours move to its minimum.
+        small = _attach_minimum(large, _minimum(large, both_ways=False), "hi", size)
         moved = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(
             small.select("hi", F.col("m").alias("lo"))
         )
         current = cut_lineage(moved.where("hi > lo").distinct())
-        stats = current.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")
-        ).first()
-        size = stats["n"]
-        if (stats["n"], stats["h"]) == signature:
-            break
-        signature = (stats["n"], stats["h"])
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     stars = current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = current.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
-    loners = alone.distinct().select("node", F.col("node").alias("component"))
+    loners = alone.select("node", F.col("node").alias("component"))
     return stars.unionByName(roots).unionByName(loners).groupBy("node").agg(F.min("component").alias("component"))

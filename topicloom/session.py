@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,24 +26,28 @@ def local_session(cpus: str = "8", app: str = "topicloom", memory: str = "16g")
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a temporary folder.
+    Only a local session that names none (a test on one machine) gets a temporary folder.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="topicloom-ckpt-"))
-    else:
+    named = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="topicloom-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so later steps restart from files and not from the source."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from the table.
+
+    Later steps restart from files when an executor is lost, and plans of iterative jobs stay
+    small: a written table carries its true size to the optimiser and no constraints of the
+    rounds before it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/topicloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
