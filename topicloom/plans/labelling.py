@@ -13,6 +13,7 @@ from topicloom.functions.text import fill_template, is_blank, numbered_list
 from topicloom.operators import topics as tp
 from topicloom.operators.ranking import top_n
 from topicloom.schema import OUTLIER
+from topicloom.session import cut_lineage
 
 # Sizes of a prompt.
 N_KEYWORDS, N_DOCS, N_CONTEXT_DOCS, WORDS_PER_BATCH = 10, 6, 3, 20
@@ -75,18 +76,24 @@ def translation_prompts(
 
 
 def call_text_function(prompts: DataFrame, fn: TextFunction, prompt: str = "prompt", answer: str = "answer") -> DataFrame:
-    """Adds the answer per prompt, called once per Arrow batch; a failed call gives null."""
-    schema = prompts.schema.add(answer, "string")
+    """Adds the answer per prompt; a failed call gives null.
+
+    Only the distinct prompts visit Python, once per Arrow batch, and their answers are written
+    down, so that no later step of the plan asks again.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
-                batch[answer] = fn(batch[prompt].tolist())
+                batch["_answer"] = fn(batch["_prompt"].tolist())
             except Exception:
-                batch[answer] = None
+                batch["_answer"] = None
             yield batch
 
-    return prompts.mapInPandas(run, schema)
+    asked = prompts.where(F.col(prompt).isNotNull()).select(F.col(prompt).alias("_prompt")).distinct()
+    answers = cut_lineage(asked.mapInPandas(run, "_prompt string, _answer string"))
+    renamed = answers.select(F.col("_prompt").alias(prompt), F.col("_answer").alias(answer))
+    return prompts.join(renamed, prompt, "left")
 
 
 def apply_labeler(prompts: DataFrame, fn: TextFunction | None = None, topic: str = "topic_id") -> DataFrame:
@@ -103,6 +110,7 @@ def translate_texts(texts: DataFrame, text: str, fn: TextFunction | None, out: s
     if fn is None:
         return texts.withColumn(out, F.when(is_blank(F.col(text)), F.lit("")).otherwise(F.col(text)))
     asked = translation_prompts(texts, F.col(text), F.col(docs) if docs else None)
+    asked = asked.withColumn("prompt", F.when(~is_blank(F.col(text)), F.col("prompt")))
     answered = call_text_function(asked, fn, answer="_answer")
     cleaned = lb.clean_translation(lb.clean_label(F.col("_answer")))
     return answered.withColumn(
