@@ -117,3 +117,9 @@ def test_sample_is_repeatable(spark):
     df = spark.range(100).select("id", F.lit("x").alias("t"))
     a, b = pf.sample_texts(df, "id", ["t"], 5).collect(), pf.sample_texts(df.repartition(5), "id", ["t"], 5).collect()
     assert a == b and len(a) == 5
+
+
+def test_top_n_is_limited_before_the_shuffle(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("id"), F.col("id").alias("ts"), F.col("id").alias("seq"))
+    plan = dd.keep_latest(df, "id", "ts", "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -33,7 +33,7 @@ def variant_summary(infos: DataFrame, counts: DataFrame) -> DataFrame:
     coefficient of variation is the better balanced one; that too is a computed row.
     """
     cv = tp.balance_cv(counts, ["variant"])
-    rows = infos.join(cv, "variant").withColumn("_best", F.min("balance_cv").over(Window.partitionBy()))
+    rows = infos.join(cv, "variant").withColumn("_best", cv.agg(F.min("balance_cv")).scalar())
     return rows.select(
         "variant",
         F.explode(
