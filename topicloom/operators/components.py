@@ -39,31 +39,40 @@ def _attach_minimum(edges: DataFrame, minimum: DataFrame, key: str, total: int)
     return via_hub.unionByName(rest)
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether every node either has exactly one smaller neighbour and no larger one, or only larger ones."""
+def _size_and_tangles(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges and of nodes that keep a component from being a star.
+
+    In a star every node either has exactly one smaller neighbour and no larger one, or only larger ones.
+    """
     ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
         edges.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
     )
     nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return nodes.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+    row = nodes.agg(
+        F.coalesce(F.sum("up"), F.lit(0)).alias("size"),
+        F.count_if((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).alias("tangles"),
+    ).first()
+    return row["size"], row["tangles"]
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node with an edge; the component is its smallest node.
 
     Each round rewires edges towards the smallest known node, until every component is a star.
-    The edges are a written table after each step, so a lost executor costs one step at most.
+    The edges are a written table after each round, so a lost executor costs one round at most.
     """
     pairs = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
     alone = pairs.where("hi = lo").select(F.col("hi").alias("node")).distinct()
     current = cut_lineage(pairs.where("hi > lo").distinct())
     for _ in range(max_rounds):
-        if _are_stars(current):
+        size, tangles = _size_and_tangles(current)
+        if not tangles:
             break
-        size = current.count()
         # Large star: larger neighbours of a node move to its minimum.
         large = _attach_minimum(current, _minimum(current, both_ways=True), "lo", size)
-        large = cut_lineage(large.select("hi", F.col("m").alias("lo")).where("hi > lo").distinct())
+        large = large.select("hi", F.col("m").alias("lo")).where("hi > lo").distinct()
+        if size >= SMALL_GRAPH:
+            large = cut_lineage(large)
         # Small star: the node and its smaller neighbours move to its minimum.
         small = _attach_minimum(large, _minimum(large, both_ways=False), "hi", size)
         moved = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(
