@@ -2,23 +2,7 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import cache
-
-import pyspark
-
-from topicloom.functions.wordlists import CLUSTER_EXTRA_STOPWORDS, STRONG_EXTRA_STOPWORDS
-
-
-@cache
-def german_base() -> tuple[str, ...]:
-    """Spark's German stop words, read from its jar so that no session is needed here."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as archive:
-        text = archive.read("org/apache/spark/ml/feature/stopwords/german.txt").decode("utf-8")
-    return tuple(w for w in text.split("\n") if w)
+from topicloom.functions.wordlists import CLUSTER_EXTRA_STOPWORDS, STRONG_EXTRA_STOPWORDS, base_stopwords
 
 
 def quoted(words) -> str:
@@ -26,7 +10,7 @@ def quoted(words) -> str:
 
 
 def strong_stop_list() -> str:
-    return quoted(sorted(set(german_base()) | set(STRONG_EXTRA_STOPWORDS)))
+    return quoted(sorted(set(base_stopwords()) | set(STRONG_EXTRA_STOPWORDS)))
 
 
 def no_urls(c: str) -> str:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
+from functools import cache
+from importlib import resources
 
 # Courtesy, salutation and address words dropped from strongly cleaned text.
 STRONG_EXTRA_STOPWORDS = (
@@ -34,9 +35,14 @@ PLACEHOLDERS_STRICT = ("nan", "none", "null")
 PLACEHOLDERS_LOOSE = ("none", "nan")
 
 
-def base_stopwords(language: str = "german") -> list[str]:
-    """The base list that ships with Spark; any other list can be passed wherever stop words are taken."""
-    return list(StopWordsRemover.loadDefaultStopWords(language))
+@cache
+def base_stopwords(language: str = "german") -> tuple[str, ...]:
+    """The base list, which equals Spark's own list of the language; any other can be passed wherever stop words are taken.
+
+    It is a data file of the package, so neither a session nor Spark's files are needed to read it.
+    """
+    text = resources.files(__package__).joinpath(f"stopwords_{language}.txt").read_text(encoding="utf-8")
+    return tuple(text.split())
 
 
 def strong_stopwords(language: str = "german") -> list[str]:
