@@ -41,14 +41,14 @@ def with_fields(df: DataFrame, *fields: T.StructField) -> T.StructType:
 
 
 def add_columns(
-    df: DataFrame, source: str, fields: list[T.StructField], compute: Callable[[pa.Array], list[pa.Array]]
+    df: DataFrame, source: str, fields: list[T.StructField], compute: Callable[[pa.Array], list[pa.Array]], rows: int = 512
 ) -> DataFrame:
-    """Append columns that ``compute`` derives from the column ``source``, an Arrow batch at a time."""
+    """Append columns that ``compute`` derives from the column ``source``, at most ``rows`` rows at a time."""
     schema = with_fields(df, *fields)
     arrow = [pa.field(f.name, _arrow_type(f.dataType)) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows)):
             made = compute(batch.column(source))
             columns = [*batch.columns, *(a.cast(f.type) for a, f in zip(made, arrow, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*batch.schema, *arrow]))

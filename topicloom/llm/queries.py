@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from topicloom.llm import line_dedup, simhash_trie
+from topicloom.llm import line_dedup, piece_codec, rans_store, simhash_trie
 from topicloom.llm.registry import query, table
 
 
@@ -36,3 +37,17 @@ FROM keyed LEFT JOIN gone g USING (key) GROUP BY doc_id
 def op8(spark, sf):
     cut = line_dedup.drop_repeated_lines(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_piece_codec")
+def op2(spark, sf):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_codec.encode(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return piece_codec.digests(piece_codec.decode(coded.select("doc_id", "ids"), path))
+
+
+@query("op10_rans_store")
+def op10(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    folder = rans_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return rans_store.with_checksum(rans_store.read_store(spark, folder))
