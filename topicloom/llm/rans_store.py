@@ -22,6 +22,7 @@ checksum and length. Empty tables give no frames.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -55,30 +56,58 @@ _WORD = np.uint64(0xFFFFFFFF)
 
 
 class _WordIds(dict):
-    """Ids of words seen before, as bytes; the library encodes each new word.
+    """Ids of words seen before, as bytes; the library encodes new words.
 
-    The tokenizer drops white space and never joins characters over it, so words encode on their own. A run of letters before
-    marks is looked up by itself, so that a word costs one library call however it is punctuated.
+    The tokenizer drops white space and never joins characters over it, so words encode on their own. A word of plain letters ends
+    with the one id that carries the end of a word, so many go to the library in one text and are told apart afterwards; punctuation marks
+    after it are looked up by themselves.
     """
 
-    MARKS = frozenset(".,;:!?")
+    MARKS = ".,;:!?"
+    END = "</w>"
+    JOINED = 64
 
     def __init__(self, path: str):
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.library.get_vocab()
+        self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
         self.letters: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
+    def core(self, word: str) -> str:
+        """The lower-cased letters of a word that is plain letters and marks, else nothing.
+
+        Below U+0130 lower-casing and composing map one letter to one letter.
+        """
+        core = word.rstrip(self.MARKS)
+        return core.lower() if core.isalpha() and max(core) < "\u0130" else ""
+
+    def learn(self, words: set[str]) -> None:
+        """Encode all words that are not known yet."""
+        new = words - self.keys()
+        if len(self) + len(new) > CACHE:
             self.clear()
             self.letters.clear()
-        core = word.rstrip(".,;:!?")
-        if core.isascii() and core.isalpha():
-            core = core.lower()
+            new = words
+        cores = list({c for c in map(self.core, new) if c} - self.letters.keys())
+        rows = [cores[at : at + self.JOINED] for at in range(0, len(cores), self.JOINED)]
+        coded = self.library.encode_batch_fast([" ".join(row) for row in rows], add_special_tokens=False)
+        for row, code in zip(rows, coded, strict=True):
+            ids = np.array(code.ids, self.kind)
+            cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            raw = ids.tobytes()
+            self.letters.update(zip(row, (raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())), strict=True))
+        for word in new:
+            self[word]
+
+    def __missing__(self, word: str) -> bytes:
+        core = self.core(word)
+        if core:
             made = self.letters.get(core)
             if made is None:
                 made = self.letters[core] = self.plain(core)
@@ -100,16 +129,19 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     keyed = require(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         words = _word_ids(tokenizer_path)
         look = words.__getitem__
         pack = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
         end = np.array([end_id], words.kind).tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 counts, sums, packed = [], [], []
-                for text in batch.column("text").to_pylist():
-                    raw = b"".join(map(look, text.replace("\n", " ").split(" "))) + end
+                texts = [text.replace("\n", " ").split(" ") for text in batch.column("text").to_pylist()]
+                words.learn(set().union(*texts))
+                for text in texts:
+                    raw = b"".join(map(look, text)) + end
                     ids = np.frombuffer(raw, words.kind)
                     counts.append(len(ids))
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
