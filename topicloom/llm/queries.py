@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from topicloom.llm import line_dedup, piece_codec, rans_store, simhash_trie
+from topicloom.llm import decontam, line_dedup, piece_codec, rans_store, simhash_trie, toxicity_kn
+from topicloom.llm.common import held_out
 from topicloom.llm.registry import query, table
 
 
@@ -51,3 +52,18 @@ def op10(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     folder = rans_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return rans_store.with_checksum(rans_store.read_store(spark, folder))
+
+
+@query("op5_decontam")
+def op5(spark, sf):
+    found = decontam.find_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "edits")
+
+
+@query("op6_toxicity_kn")
+def op6(spark, sf):
+    settings = toxicity_kn.Settings()
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity_kn.train(docs, table(spark, sf, "labels"), settings)
+    scored = toxicity_kn.score(docs, model, settings)
+    return scored.select("doc_id", held_out("doc_id", settings.folds, settings.held_out_fold).alias("held_out"), "score", "predicted")
