@@ -144,18 +144,22 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_c
     """``(doc_id, item_id, edits, end)``: each item found in each document, with its least edit distance."""
     items = require(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), text_or_empty().alias("text"))
     keyed = require(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    sized = items.agg(F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest")).first()
-    # With an even deal a block holds half of its bound on average; the longest item may come on top.
-    blocks = 1 + 2 * (sized["chars"] or 0) // block_chars
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     found = None
-    for b in range(blocks):
-        rows = [tuple(r) for r in (items if blocks == 1 else items.where(block == b)).collect()]
+    for rows in _item_blocks(items, block_chars):
         made = keyed.mapInArrow(_search(rows, rate), "doc_id long, item_id long, edits int, end int")
         found = made if found is None else found.unionByName(made)
     return found
 
 
+def _item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
+    """The items in blocks; an even deal fills half of a block's bound on average, and one long item may come on top."""
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = 1 + 2 * chars // block_chars
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for b in range(blocks):
+        yield [tuple(r) for r in (items if blocks == 1 else items.where(block == b)).collect()]
+
+
 def _search(rows: list[tuple], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows, rate)
@@ -174,12 +178,8 @@ def without_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, bloc
     """The documents in which no item is found. The search runs in place: no text is shuffled."""
     require(docs, "doc_id", "text")
     items = require(benchmark, "item_id", "text").select("item_id", text_or_empty().alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + 2 * chars // block_chars
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     kept = docs
-    for b in range(blocks):
-        rows = [tuple(r) for r in (items if blocks == 1 else items.where(block == b)).collect()]
+    for rows in _item_blocks(items, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
             search = Items(rows, rate)

@@ -1,7 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of how words are spelt, one of toxic and one of ordinary texts. A text's value is its log-likelihood under the first
-less that under the second, divided by its number of words; a logistic curve turns it into a score. Both models are built alike.
+Two models of how words are spelt, one of toxic and one of ordinary texts. A word's log-likelihoods under both are compared, and
+a text's value is the sum of what the toxic one is ahead by, divided by the number of words. A lead counts from ``margin`` on: smaller leads, and all those
+of the ordinary model, come from the languages and topics that the classes happen to hold, and would hide a few insults in a long text.
+A logistic curve turns the value into a score. Both models are built alike.
 A word counts as often as there are different words that it follows in the class (the continuation count, so that copied
 texts count once). Within a word, each letter is predicted from up to ``order - 1`` letters before it, with absolute discounting: what
 is taken from the counts of a context, at most ``discount`` from each, is passed on to the next shorter context as its
@@ -52,6 +54,7 @@ class Settings:
     max_docs: int = 4_000
     order: int = 4
     discount: float = 0.75
+    margin: float = 3.0
     threshold: float = 0.3
 
 
@@ -87,9 +90,10 @@ class Spelling:
 class Ratios(dict):
     """The values of words seen before; a new word is spelt out on demand."""
 
-    def __init__(self, toxic: dict[str, float], plain: dict[str, float], order: int, discount: float):
+    def __init__(self, toxic: dict[str, float], plain: dict[str, float], settings: Settings):
         super().__init__()
-        self.order = order
+        order, discount = settings.order, settings.discount
+        self.order, self.margin = order, settings.margin
         self.models = Spelling(toxic, order, discount), Spelling(plain, order, discount)
         self.shared: dict[str, float] = defaultdict(float)
         for model in self.models:
@@ -109,7 +113,7 @@ class Ratios(dict):
         return value
 
     def __missing__(self, word: str) -> float:
-        value = sum(map(self.group, letter_groups(word, self.order)))
+        value = max(0.0, sum(map(self.group, letter_groups(word, self.order))) - self.margin)
         if len(word) < 64:  # longer ones hardly come again
             if len(self) >= _KNOWN:
                 self.clear()
@@ -117,7 +121,7 @@ class Ratios(dict):
         return value
 
     def value(self, text: str) -> float:
-        """The difference of the log-likelihoods, divided by the number of words."""
+        """The toxic model's leads, summed over the words and divided by their number."""
         words = WORD.findall(text.lower())
         return math.fsum(map(self.__getitem__, words)) / len(words) if words else 0.0
 
@@ -148,14 +152,14 @@ def _word_pairs(train: DataFrame) -> DataFrame:
     return train.select("toxic", "text").mapInArrow(run, "toxic int, v string, w string").distinct()
 
 
-def fit(train: DataFrame, order: int, discount: float) -> Ratios | None:
+def fit(train: DataFrame, settings: Settings) -> Ratios | None:
     """Both classes' models; None if one has no words. The driver gets the letter groups of the sample."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, str], float] = defaultdict(float)
         for batch in batches:
             for toxic, word, n in zip(*(batch.column(c).to_pylist() for c in ("toxic", "w", "n")), strict=True):
-                for group in letter_groups(word, order):
+                for group in letter_groups(word, settings.order):
                     counts[toxic, group] += n
         columns = [pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string())]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.float64())], ["toxic", "letters", "n"])
@@ -165,7 +169,7 @@ def fit(train: DataFrame, order: int, discount: float) -> Ratios | None:
     found: tuple[dict, dict] = {}, {}
     for row in groups.collect():
         found[row["toxic"]][row["letters"]] = row["n"]
-    return Ratios(found[1], found[0], order, discount) if found[0] and found[1] else None
+    return Ratios(found[1], found[0], settings) if found[0] and found[1] else None
 
 
 @dataclass
@@ -212,8 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     sample = cut_lineage(sample)  # 2 * max_docs rows at most
     texts = require(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
     texts = cut_lineage(texts.withColumn("late", held_out("doc_id", s.folds, s.calibration_fold)))
-    early = fit(texts.where("not late"), s.order, s.discount)
-    final = fit(texts, s.order, s.discount)
+    early = fit(texts.where("not late"), s)
+    final = fit(texts, s)
     if early is None or final is None:
         return Model(None, 0.0, prior)
 
