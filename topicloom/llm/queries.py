@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from topicloom.llm import decontam, line_dedup, piece_codec, rans_store, simhash_trie, toxicity_kn
+from topicloom.llm import decontam, line_dedup, piece_codec, quality_llr, rans_store, simhash_trie, toxicity_kn
 from topicloom.llm.common import held_out
 from topicloom.llm.registry import query, table
 
@@ -67,3 +67,9 @@ def op6(spark, sf):
     model = toxicity_kn.train(docs, table(spark, sf, "labels"), settings)
     scored = toxicity_kn.score(docs, model, settings)
     return scored.select("doc_id", held_out("doc_id", settings.folds, settings.held_out_fold).alias("held_out"), "score", "predicted")
+
+
+# The base columns in SQL; the ratio's verdict is tested against a brute-force version.
+@query("op1_quality_llr")
+def op1(spark, sf):
+    return quality_llr.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
