@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from topicloom.llm import decontam, line_dedup, piece_codec, quality_llr, rans_store, secret_tests, simhash_trie, toxicity_kn
+from topicloom.llm import decontam, line_dedup, piece_codec, pitman_yor, quality_llr, rans_store, secret_tests, simhash_trie, toxicity_kn
 from topicloom.llm.common import held_out
 from topicloom.llm.registry import query, table
 
@@ -78,3 +78,8 @@ def op1(spark, sf):
 @query("op7_secret_tests")
 def op7(spark, sf):
     return secret_tests.digests(secret_tests.scan(table(spark, sf, "documents")))
+
+
+@query("op9_pitman_yor")
+def op9(spark, sf):
+    return pitman_yor.score(table(spark, sf, "documents"))
