@@ -46,7 +46,7 @@ LANES = 32
 BLOCK_STEPS = 1024
 CHECKPOINT_STEPS = 256
 FRAME_IDS = 1 << 21
-CACHE = 600_000
+CACHE = 200_000
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _WORD = np.uint64(0xFFFFFFFF)
@@ -55,7 +55,28 @@ _WORD = np.uint64(0xFFFFFFFF)
 # --- texts to ids ---------------------------------------------------------------------------------------------------
 
 
-class _WordIds(dict):
+class _Kept(dict):
+    """A bounded memory of two generations: what is asked for again outlives the older one."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __setitem__(self, key: str, value: bytes) -> None:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        super().__setitem__(key, value)
+
+    def recall(self, key: str) -> bytes | None:
+        """The value if it is known; one of the older generation moves to the younger."""
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self[key] = value
+        return value
+
+
+class _WordIds(_Kept):
     """Ids of words seen before, as bytes; the library encodes new words.
 
     The tokenizer drops white space and never joins characters over it, so words encode on their own. A word of plain letters ends
@@ -74,7 +95,7 @@ class _WordIds(dict):
         self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
-        self.letters: dict[str, bytes] = {}
+        self.letters = _Kept()
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -89,32 +110,31 @@ class _WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         """Encode all words that are not known yet."""
-        new = words - self.keys()
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            self.letters.clear()
-            new = words
-        cores = list({c for c in map(self.core, new) if c} - self.letters.keys())
+        new = words - self.keys() - self.old.keys()
+        cores = [c for c in {c for c in map(self.core, new) if c} if self.letters.recall(c) is None]
         rows = [cores[at : at + self.JOINED] for at in range(0, len(cores), self.JOINED)]
         coded = self.library.encode_batch_fast([" ".join(row) for row in rows], add_special_tokens=False)
         for row, code in zip(rows, coded, strict=True):
             ids = np.array(code.ids, self.kind)
             cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
             raw = ids.tobytes()
-            self.letters.update(zip(row, (raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())), strict=True))
+            for core, a, b in zip(row, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                self.letters[core] = raw[a:b]
         for word in new:
             self[word]
 
     def __missing__(self, word: str) -> bytes:
-        core = self.core(word)
-        if core:
-            made = self.letters.get(core)
-            if made is None:
-                made = self.letters[core] = self.plain(core)
-            if len(word) > len(core):
-                made += self[word[len(core) :]]
-        else:
-            made = self.plain(word)
+        made = self.old.get(word)
+        if made is None:
+            core = self.core(word)
+            if core:
+                made = self.letters.recall(core)
+                if made is None:
+                    made = self.letters[core] = self.plain(core)
+                if len(word) > len(core):
+                    made += self[word[len(core) :]]
+            else:
+                made = self.plain(word)
         self[word] = made
         return made
 
