@@ -46,7 +46,7 @@ LANES = 32
 BLOCK_STEPS = 1024
 CHECKPOINT_STEPS = 256
 FRAME_IDS = 1 << 21
-CACHE = 200_000
+CACHE = 250_000
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _WORD = np.uint64(0xFFFFFFFF)
