@@ -26,10 +26,9 @@ def run(spark, edges):
     return {r["node"]: r["component"] for r in cc.connected_components(df).collect()}
 
 
-@pytest.mark.parametrize("small_graph", [cc.SMALL_GRAPH, 0])
-def test_components(spark, monkeypatch, small_graph):
-    monkeypatch.setattr(cc, "SMALL_GRAPH", small_graph)
-    monkeypatch.setattr(cc, "HUB_SHARE", 0.2)
+@pytest.mark.parametrize("hub_share", [cc.HUB_SHARE, 0.2])
+def test_components(spark, monkeypatch, hub_share):
+    monkeypatch.setattr(cc, "HUB_SHARE", hub_share)
     path = [(9, 3), (3, 7), (7, 1), (1, 8), (8, 2), (2, 6), (6, 5), (5, 4)]
     star = [(100, i) for i in range(101, 130)]
     rng = random.Random(3)

@@ -45,11 +45,13 @@ def test_corpus_matches_brute_force(spark):
 
 def test_vectors_equal_the_long_form(spark):
     corpus = vectorise_corpus(docs(spark))
-    terms = ft.sorted_vocabulary(corpus.vocabulary)
-    names = [t for t, _ in terms]
+    numbered = ft.numbered_vocabulary(corpus.vocabulary)
+    names = [r["term"] for r in numbered.orderBy("term_id").collect()]
     assert names == sorted(names)
-    analysed = corpus.docs.select("doc_id", tx.ngrams(F.col("tokens")).alias("terms"))
-    out = ft.vectors(analysed, ft.vector_models(terms, corpus.n_docs))
+    out = ft.vectors(corpus.features, numbered, len(names))
+    assert {(r["doc_id"], names[i]): x for r in out.collect() for i, x in zip(r["bow"].indices, r["bow"].values)} == {
+        (r["doc_id"], r["term"]): r["tf"] for r in corpus.features.collect()
+    }
     got = {}
     for r in out.select("doc_id", vector_to_array("tfidf").alias("v")).collect():
         got.update({(r["doc_id"], names[i]): x for i, x in enumerate(r["v"]) if x})
@@ -70,12 +72,6 @@ def test_everything_pruned_raises(spark):
         vectorise_corpus(docs(spark), min_df=5)
 
 
-def test_vocabulary_too_large_for_memory_raises(spark):
-    vocab = vectorise_corpus(docs(spark)).vocabulary
-    with pytest.raises(ValueError, match="raise min_df"):
-        ft.sorted_vocabulary(vocab, max_terms=1)
-
-
 def test_lexicon_and_sequence_steps(spark):
     df = spark.createDataFrame([(1, ["Lampen", "sind", "Lampen", "neu"]), (2, ["neu"])], "doc_id int, t array<string>")
     words = lx.positioned(df, F.col("t"))

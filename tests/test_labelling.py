@@ -40,10 +40,38 @@ def shouting():
 
 
 def test_word_translation_with_mismatch(spark):
-    got = lab.translate_topic_words(words(spark), shouting()).collect()
+    got = lab.translate_topic_words(words(spark), shouting(), examples(spark)).collect()
     assert sorted(r["word"] for r in got) == ["LAMPE", "LICHT", "brunnen"]
 
 
+def test_words_without_reports_are_translated_in_batches(spark):
+    many = spark.createDataFrame([(i % 3, f"w{i:02}", 1.0) for i in range(45)] + [(0, "w44", 0.5)], "topic_id int, word string, weight double")
+    asked = spark.sparkContext.accumulator(0)
+
+    def shout(prompts):
+        asked.add(len(prompts))
+        if len(prompts) > 1 or any("w20" in p for p in prompts):
+            raise RuntimeError("no such batch")
+        return [p.split("German: ")[-1].split("\n")[0].upper() for p in prompts]
+
+    got = sorted(r["word"] for r in lab.translate_topic_words(many, shout).collect())
+    # The batch of w20 to w39 fails and keeps its words; the other two do not suffer.
+    assert got == sorted([f"W{i:02}" if not 20 <= i < 40 else f"w{i:02}" for i in range(45)] + ["W44"])
+
+
+def test_a_bad_prompt_costs_only_its_own_answer(spark):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(30)] + [(99, None)], "i int, prompt string").coalesce(1)
+
+    def fn(texts):
+        if "p7" in texts:
+            raise RuntimeError("bad prompt")
+        return [t.upper() for t in texts][: 1 if len(texts) == 1 else -1]
+
+    got = {r["i"]: (r["answer"], r["failed"]) for r in lab.call_text_function(prompts, fn).collect()}
+    assert got[7] == (None, True) and got[99] == (None, False)
+    assert all(got[i] == (f"P{i}", False) for i in range(30) if i != 7)
+
+
 def test_run_labelling(spark):
     docs = spark.createDataFrame([(7, 0), (8, 1), (9, 4)], "doc_id int, dominant_topic int")
     out = lab.run_labelling(words(spark), docs, examples(spark), "bow", translator=lambda ps: ["lit lamp" for _ in ps])

@@ -126,16 +126,18 @@ def dominant(spark, sf):
 
 
 THETA_LONG_SQL = f"""
-t AS (SELECT vec_id, {theta_sql('10')} AS theta FROM embeddings),
+t AS (SELECT vec_id, {theta_sql('10')} AS theta FROM embeddings SEMI JOIN documents ON vec_id = doc_id),
 l AS (SELECT vec_id, unnest(range(0, 10)) AS topic_id, unnest(theta) AS p FROM t),
 reps AS (SELECT vec_id AS doc_id, topic_id, p, row_number() OVER (PARTITION BY topic_id ORDER BY p DESC, vec_id) AS rank FROM l)
 """
 
 
 def representatives(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     t = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), theta(F.col("embedding"), 10, "bow").alias("theta"))
-    found = rk.representative_docs(t, n)
-    return found.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    # Only vectors with a document can represent a topic, so that none vanishes after the ranking.
+    found = rk.representative_docs(t.join(docs.select("doc_id"), "doc_id", "left_semi"), n)
+    return found.join(docs, "doc_id")
 
 
 @check(

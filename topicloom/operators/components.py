@@ -9,8 +9,6 @@ from topicloom.session import cut_lineage
 
 # A hub holds at least this share of all edge ends, so there are at most 2 / share of them.
 HUB_SHARE = 1e-3
-# Below this many edges no task can be overloaded, and the hubs need no care.
-SMALL_GRAPH = 1_000_000
 
 
 def _minimum(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -29,10 +27,8 @@ def _attach_minimum(edges: DataFrame, minimum: DataFrame, key: str, total: int)
     they are; all other nodes go by a shuffle join.
     """
     named = lambda m: m.select(F.col("node").alias(key), "m")
-    if total < SMALL_GRAPH:
-        return edges.join(named(minimum), key)
     minimum = cut_lineage(minimum)
-    is_hub = F.col("degree") >= int(total * HUB_SHARE)
+    is_hub = F.col("degree") >= total * HUB_SHARE
     hubs, others = named(minimum.where(is_hub)), named(minimum.where(~is_hub))
     via_hub = edges.join(F.broadcast(hubs), key)
     rest = edges.join(F.broadcast(hubs.select(key)), key, "left_anti").join(others, key)
@@ -70,9 +66,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         # Large star: larger neighbours of a node move to its minimum.
         large = _attach_minimum(current, _minimum(current, both_ways=True), "lo", size)
-        large = large.select("hi", F.col("m").alias("lo")).where("hi > lo").distinct()
-        if size >= SMALL_GRAPH:
-            large = cut_lineage(large)
+        large = cut_lineage(large.select("hi", F.col("m").alias("lo")).where("hi > lo").distinct())
         # Small star: the node and its smaller neighbours move to its minimum.
         small = _attach_minimum(large, _minimum(large, both_ways=False), "hi", size)
         moved = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(

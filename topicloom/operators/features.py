@@ -6,12 +6,10 @@ one shuffle, and Spark reuses that shuffle when the vocabulary is built from it
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicloom.functions.text import ngrams
 from topicloom.session import cut_lineage
@@ -81,29 +79,24 @@ def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     )
 
 
-def sorted_vocabulary(vocabulary: DataFrame, max_terms: int = 2_000_000) -> list[tuple[str, int]]:
-    """The vocabulary in term order for the ``pyspark.ml`` models, which hold it on the driver.
+def numbered_vocabulary(vocabulary: DataFrame) -> DataFrame:
+    """``(term_id, term, df)``, numbered from 0 in term order, as a written table of any size."""
+    return cut_lineage(dense_ids(vocabulary.select("term", "df"), ["term"], "term_id"))
+
 
-    Its size is checked first: a vocabulary that does not fit is an error with a remedy, never a
-    silent cut. The long-form operators have no such bound.
+def vectors(features: DataFrame, numbered: DataFrame, size: int, doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, bow, tfidf)``: the long features as sparse vectors of length ``size``.
+
+    Rows are built from arrays and written in the form in which Spark stores vectors, so that they are read as vectors: neither
+    Python nor the driver sees a term.
     """
-    n = vocabulary.count()
-    if n == 0:
-        raise ValueError("no term is left: lower min_df or raise max_df")
-    if n > max_terms:
-        raise ValueError(f"{n} terms exceed {max_terms} for an in-memory model: raise min_df")
-    return [(r["term"], r["df"]) for r in vocabulary.select("term", "df").orderBy("term").collect()]
-
-
-def vector_models(terms: list[tuple[str, int]], n_docs: int, tokens_col: str = "terms"):
-    """Count, weight and length models over a sorted vocabulary; the weight is Spark's IDF plus one."""
-    counter = CountVectorizerModel.from_vocabulary([t for t, _ in terms], inputCol=tokens_col, outputCol="bow")
-    weights = Vectors.dense([math.log((1 + n_docs) / (1 + df)) + 1.0 for _, df in terms])
-    weigher = ElementwiseProduct(scalingVec=weights, inputCol="bow", outputCol="_weighted")
-    return counter, weigher, Normalizer(p=2.0, inputCol="_weighted", outputCol="tfidf")
-
-
-def vectors(docs: DataFrame, models) -> DataFrame:
-    """Adds ``bow`` and ``tfidf`` vectors; run ``drop_empty_vectors`` on the documents first."""
-    counter, weigher, normaliser = models
-    return normaliser.transform(weigher.transform(counter.transform(docs))).drop("_weighted")
+    placed = features.join(numbered.select("term", "term_id"), "term")
+    row = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), F.col("tf").cast("double").alias("tf"), "tfidf")))
+    rows = placed.groupBy(doc_id).agg(row.alias("_row"))
+    stored = lambda value: F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("_row")["i"].alias("indices"), F.col("_row")[value].alias("values")
+    )
+    table = rows.select(doc_id, stored("tf").alias("bow"), stored("tfidf").alias("tfidf"))
+    kinds = T.StructType([table.schema[doc_id], T.StructField("bow", VectorUDT()), T.StructField("tfidf", VectorUDT())])
+    # In one order, so that repeated fits are identical.
+    return cut_lineage(table.sortWithinPartitions(doc_id), kinds)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import labels as lb
 from topicloom.functions.text import fill_template, is_blank, numbered_list
 from topicloom.operators import topics as tp
+from topicloom.operators.features import dense_ids
 from topicloom.operators.ranking import top_n
 from topicloom.schema import OUTLIER
 from topicloom.session import cut_lineage
@@ -76,24 +77,38 @@ def translation_prompts(
 
 
 def call_text_function(prompts: DataFrame, fn: TextFunction, prompt: str = "prompt", answer: str = "answer") -> DataFrame:
-    """Adds the answer per prompt; a failed call gives null.
+    """Adds the answer per prompt, and ``failed``: whether the text function gave none for it.
 
-    Only the distinct prompts visit Python, once per Arrow batch, and their answers are written
-    down, so that no later step of the plan asks again.
+    Only the distinct prompts visit Python, a batch at a time, and their answers are written down, so that no later step of the plan
+    asks again. When a batch fails, or its answers do not match its prompts in number, the prompts are asked one by one, so a bad one costs
+    only its own answer.
     """
 
+    def ask(texts: list[str]) -> list[str | None]:
+        answers = list(fn(texts))
+        if len(answers) != len(texts):
+            raise ValueError(f"{len(answers)} answers to {len(texts)} prompts")
+        return answers
+
+    def ask_one(text: str) -> tuple[str | None, bool]:
+        try:
+            return ask([text])[0], False
+        except Exception:  # counted in the output
+            return None, True
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            texts = batch["_prompt"].tolist()
             try:
-                batch["_answer"] = fn(batch["_prompt"].tolist())
-            except Exception:
-                batch["_answer"] = None
-            yield batch
+                found = [(a, False) for a in ask(texts)]
+            except Exception:  # which prompt it was shows when each is asked alone
+                found = [ask_one(t) for t in texts]
+            yield batch.assign(_answer=[a for a, _ in found], _failed=[f for _, f in found])
 
     asked = prompts.where(F.col(prompt).isNotNull()).select(F.col(prompt).alias("_prompt")).distinct()
-    answers = cut_lineage(asked.mapInPandas(run, "_prompt string, _answer string"))
-    renamed = answers.select(F.col("_prompt").alias(prompt), F.col("_answer").alias(answer))
-    return prompts.join(renamed, prompt, "left")
+    answers = cut_lineage(asked.mapInPandas(run, "_prompt string, _answer string, _failed boolean"))
+    renamed = answers.select(F.col("_prompt").alias(prompt), F.col("_answer").alias(answer), F.col("_failed").alias("failed"))
+    return prompts.join(renamed, prompt, "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
 
 
 def apply_labeler(prompts: DataFrame, fn: TextFunction | None = None, topic: str = "topic_id") -> DataFrame:
@@ -115,7 +130,7 @@ def translate_texts(texts: DataFrame, text: str, fn: TextFunction | None, out: s
     cleaned = lb.clean_translation(lb.clean_label(F.col("_answer")))
     return answered.withColumn(
         out, F.when(is_blank(F.col(text)), F.lit("")).otherwise(F.coalesce(cleaned, F.col(text)))
-    ).drop("prompt", "_answer")
+    ).drop("prompt", "_answer", "failed")
 
 
 def word_pairs(topic_lists: DataFrame, keywords: str = "keywords", translated: str = "translated", topic: str = "topic_id") -> DataFrame:
@@ -126,17 +141,31 @@ def word_pairs(topic_lists: DataFrame, keywords: str = "keywords", translated: s
     return topic_lists.select(F.col(topic).alias("topic_id"), F.explode(zipped).alias("p")).select("topic_id", "p.word", "p.translation")
 
 
+def word_batches(topic_words: DataFrame, size: int = WORDS_PER_BATCH) -> DataFrame:
+    """``(topic_id, keywords)``: all distinct words in their order, ``size`` to a list; ``topic_id`` numbers the lists."""
+    numbered = dense_ids(topic_words.select("word").distinct(), ["word"], "_at")
+    lists = numbered.groupBy(F.floor(F.col("_at") / size).cast("long").alias("topic_id")).agg(F.array_sort(F.collect_list("word")).alias("keywords"))
+    return lists.withColumn("_text", F.array_join("keywords", ", "))
+
+
 def translate_topic_words(
-    topic_words: DataFrame, fn: TextFunction | None, examples: DataFrame | None = None, topic: str = "topic_id", n_words: int = 15
+    topic_words: DataFrame, fn: TextFunction | None, examples: DataFrame | None = None, topic: str = "topic_id", n_words: int | None = None
 ) -> DataFrame:
-    """Words of all topics through one global word map, built topic by topic with example reports."""
-    lists = keyword_lists(topic_words, n_words, topic).withColumn("_text", F.array_join("keywords", ", "))
-    if examples is not None:
+    """Words of all topics through one global word map.
+
+    With example reports the map is built topic by topic, from the ``n_words`` heaviest words of each (all of them unless given);
+    without, from batches of ``WORDS_PER_BATCH`` distinct words. A list whose translation has another length keeps its own words.
+    """
+    if examples is None:
+        lists = word_batches(topic_words)
+    else:
+        most = n_words or topic_words.groupBy(topic).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+        lists = keyword_lists(topic_words, most, topic).withColumn("_text", F.array_join("keywords", ", "))
         lists = lists.join(example_lists(examples, N_CONTEXT_DOCS, topic), topic, "left").withColumn(
             "docs", F.coalesce("docs", F.array().cast("array<string>"))
         )
     done = translate_texts(lists, "_text", fn, "translated", "docs" if examples is not None else None)
-    return tp.translate_words(topic_words, tp.word_translations(word_pairs(done, topic=topic)))
+    return tp.translate_words(topic_words, tp.word_translations(word_pairs(done, topic=topic if examples is not None else "topic_id")))
 
 
 def translate_topic_names(labels: DataFrame, fn: TextFunction | None) -> DataFrame:

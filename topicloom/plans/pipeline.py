@@ -109,11 +109,11 @@ def run_lda(
     k_min: int = lda.K_MIN, k_max: int = lda.K_MAX, settings: lda.LdaSettings = lda.LdaSettings(), doc_id: str = "doc_id",
 ) -> dict[str, LdaRun]:
     """Both variants: choose K by coherence (or take ``k``), train, and build the tables."""
-    terms = ft.sorted_vocabulary(corpus.vocabulary)
-    names = [t for t, _ in terms]
+    numbered = ft.numbered_vocabulary(corpus.vocabulary)
+    n_terms = numbered.count()
     analysed = corpus.docs.select(doc_id, tx.ngrams(F.col("tokens"), corpus.settings["ngram_range"]).alias("terms"))
-    # A fixed partitioning keeps repeated fits identical.
-    vectors = cut_lineage(ft.vectors(analysed.repartition(doc_id), ft.vector_models(terms, corpus.n_docs)))
+    # A written table in a fixed order keeps repeated fits identical.
+    vectors = ft.vectors(corpus.features, numbered, n_terms, doc_id)
     sequences = lx.in_vocabulary(lx.positioned(analysed, F.col("terms"), doc_id), corpus.vocabulary, doc_id)
     token_lists = cut_lineage(lx.recollect(sequences, "token", doc_id))
     if token_lists.isEmpty():
@@ -121,12 +121,12 @@ def run_lda(
     n = token_lists.count()
     out = {}
     for variant in variants:
-        sweep = lda.sweep_k(vectors, token_lists, names, variant, n, k_min, k_max, settings) if auto_k else None
+        sweep = lda.sweep_k(vectors, token_lists, numbered, variant, k_min, k_max, settings) if auto_k else None
         chosen = lda.choose_k(sweep) if auto_k else k
-        model = lda.train_lda(vectors, variant, chosen, n, settings)
-        coherence = coherence_cv(token_lists, lda.topic_words(model, names, TOP_WORDS)).first()["coherence_c_v"]
-        info = lda.training_info(vectors.sparkSession, variant, chosen, coherence, n, len(names), settings)
-        out[variant] = LdaRun(model, chosen, lda.topic_words(model, names), lda.doc_topics(model, vectors, doc_id), info, sweep)
+        model = lda.train_lda(vectors, variant, chosen, settings)
+        coherence = coherence_cv(token_lists, lda.topic_words(model, numbered, TOP_WORDS)).first()["coherence_c_v"]
+        info = lda.training_info(vectors.sparkSession, variant, chosen, coherence, n, n_terms, settings)
+        out[variant] = LdaRun(model, chosen, lda.topic_words(model, numbered), lda.doc_topics(model, vectors, doc_id), info, sweep)
     return out
 
 

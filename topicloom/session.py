@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -27,27 +29,27 @@ def local_session(cpus: str = "8", app: str = "topicloom", memory: str = "16g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``; every executor must reach it.
 
-    Only a local session that names none (a test on one machine) gets a temporary folder.
+    Only a session in one process (``local[n]``) that names none gets a temporary folder of its own.
     """
     context = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF) or context.getCheckpointDir()
     if named:
         return named
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="topicloom-"))
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from the table.
 
     Later steps restart from files when an executor is lost, and plans of iterative jobs stay
     small: a written table carries its true size to the optimiser and no constraints of the
-    rounds before it.
+    rounds before it. ``schema`` reads stored values as types of their own, such as vectors.
     """
     path = f"{shared_folder(df.sparkSession)}/topicloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

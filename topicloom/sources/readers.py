@@ -20,27 +20,18 @@ from topicloom.schema import (
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
     """Raw records from CSV. Texts may hold line breaks, so one record can span lines.
 
-    The header is matched to the schema by name: files may order or omit columns differently.
-    A missing path raises when Spark resolves it.
+    Columns are matched by name. All files of one call must share one header: Spark reads the first one and raises on a file whose
+    header differs, so values never land under a wrong name. Files of another layout are another call, joined by
+    ``unionByName``. A missing path raises when Spark resolves it.
     """
     header = spark.read.csv(path, header=True, multiLine=True, escape='"').limit(0)
     require_columns(header, ["description"], "raw records")
     types = {f.name: f.dataType for f in schema}
     by_name = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header.columns])
-    rows = spark.read.csv(path, schema=by_name, header=True, multiLine=True, escape='"')
+    rows = spark.read.csv(path, schema=by_name, header=True, multiLine=True, escape='"', enforceSchema=False)
     return keep_text(rows.select(*[c for c in header.columns if c in types]))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a small input that comes in fewer splits than there are cores.
-
-    A file with one row group is one task however much work its texts cause. Large inputs have
-    more splits than cores and stay as they are: no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, key)
-
-
 def keep_text(df: DataFrame, text: str = "description") -> DataFrame:
     """Require the text column and turn its nulls into empty text."""
     return require_columns(df, [text], "raw records").withColumn(text, text_or_empty(F.col(text)))
