@@ -61,6 +61,16 @@ def test_csv_with_line_breaks_and_other_column_order(spark, tmp_path):
         rd.read_raw_csv(spark, str(bad))
 
 
+def test_files_of_another_header_raise_instead_of_landing_under_wrong_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("service_request_id,description,status\n1,one,open\n")
+    (tmp_path / "b.csv").write_text("status,description,service_request_id\nclosed,two,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        rd.read_raw_csv(spark, str(tmp_path)).collect()
+    each = [rd.read_raw_csv(spark, str(tmp_path / f)) for f in ("a.csv", "b.csv")]
+    got = {(r["service_request_id"], r["status"]) for r in each[0].unionByName(each[1]).collect()}
+    assert got == {("1", "open"), ("2", "closed")}
+
+
 def test_landed_json(spark, tmp_path):
     row = {"service_request_id": "1", "description": "d", "lat": 3}
     bodies = {"list.json": [row, row], "object.json": {"n": 2, "requests": [row], "other": [row, row]}, "none.json": {"n": 2}}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from topicloom.operators.features import dense_ids
 from topicloom.operators.ranking import examples_per_category
 from topicloom.plans.pipeline import clean_corpus, drop_blank_both
 from topicloom.plans.reports import trend_by_month
-from topicloom.sources.readers import cleaned_table, corpus_for, raw_columns
+from topicloom.session import shared_folder
+from topicloom.sources.readers import cleaned_table, corpus_for, raw_columns, read_landed_json, read_raw_csv
 from topicloom.sources.timebins import adaptive_time_bins, plan_year_windows
 
 
@@ -31,6 +34,34 @@ def scan_raw(spark, sf):
     return raw_columns(raw(spark, sf))
 
 
+LANDED_SQL = "SELECT doc_id::VARCHAR AS service_request_id, source AS service_name, text AS description FROM documents"
+
+
+def landed(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents under the names of raw records."""
+    docs = table(spark, sf, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("service_request_id"), F.col("source").alias("service_name"), F.col("text").alias("description"))
+
+
+@check("scan_csv", LANDED_SQL)
+def scan_csv(spark, sf):
+    """The documents written as CSV files and read back, line breaks and quotes included."""
+    path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    writer = landed(spark, sf).write.option("header", True).option("quoteAll", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_raw_csv(spark, path)
+
+
+@check("scan_landed_json", LANDED_SQL)
+def scan_landed_json(spark, sf):
+    """The documents written as JSON lists, a hundred ids to a response, and read back."""
+    path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    responses = landed(spark, sf).groupBy(F.expr("cast(service_request_id as long) div 100").alias("response"))
+    bodies = responses.agg(F.to_json(F.collect_list(F.struct("service_request_id", "service_name", "description"))).alias("value"))
+    bodies.write.partitionBy("response").text(path)
+    return read_landed_json(spark, path).select("service_request_id", "service_name", "description")
+
+
 @check(
     "scan_cleaned",
     f"""SELECT page_id, html AS description, {q.strong('html')} AS strong_text, {q.light('html')} AS light_text
