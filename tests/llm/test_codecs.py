@@ -39,6 +39,8 @@ def test_piece_columns(make_docs, odd):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rows = pc.decode(pc.encode(docs, MODEL), MODEL).collect()
     assert len(rows) == len(odd) + 2
+    both = pc.encode_and_decode(docs, MODEL).collect()
+    assert sorted(map(str, both)) == sorted(map(str, rows)) and pc.encode(docs, MODEL, verify=True).count() == len(rows)
     for r in rows:
         assert r.ids == library.encode(r.text) and r.decoded == library.decode(r.ids) and r.lang == "en"
     for r in pc.digests(pc.decode(pc.encode(docs, MODEL), MODEL)).collect():

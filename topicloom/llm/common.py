@@ -80,3 +80,24 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     return np.append(np.flatnonzero(new), n)
+
+
+class Remembered(dict):
+    """A memory of at most two generations of ``size`` values: what is asked for again outlives the older one."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def __setitem__(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        super().__setitem__(key, value)
+
+    def recall(self, key):
+        """The value if it is known, else None; one of the older generation moves to the younger."""
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self[key] = value
+        return value

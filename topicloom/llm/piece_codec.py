@@ -6,8 +6,8 @@ that end there, the one that fits the last token of the prefix before it. The ta
 the matches of an Aho-Corasick automaton over all pieces and a test of pairs; the ids are recovered backwards from its end.
 
 No piece holds a word mark (U+2581) after another character, and none a character outside the pieces' alphabet: so the
-text falls into words that encode on their own, and the table is filled once per distinct word and worker. The
-words kept are bounded by ``CACHE``; past that the worker starts afresh.
+text falls into words that encode on their own, and the table is filled once per distinct word and worker, as far as a
+bounded memory of words (two generations of ``CACHE``) reaches.
 
 The model file's path is a parameter, and each worker reads the file. Only models with the identity normaliser and a
 leading word mark are taken (checked when the file is read).
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import add_columns, require, text_or_empty
+from topicloom.llm.common import Remembered, add_columns, require, text_or_empty
 
 MARK = "▁"  # Fixed value: stands for a space inside pieces.
-CACHE = 600_000
+CACHE = 200_000
 _FOREIGN = -1
 
 
@@ -153,17 +153,18 @@ def _runs(words: list[str]) -> list[str]:
     return [*out, MARK * marks + words[-1]]
 
 
-class _Words(dict):
+class _Words(Remembered):
     """Ids of words seen before, as bytes; a new word is encoded on demand."""
 
     def __init__(self, pieces: Pieces, mark: str):
-        super().__init__()
+        super().__init__(CACHE)
         self.pieces_, self.mark = pieces, mark
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        made = self[word] = np.array(self.pieces_.word_ids(self.mark + word), self.pieces_.kind).tobytes()
+        made = self.old.get(word)
+        if made is None:
+            made = np.array(self.pieces_.word_ids(self.mark + word), self.pieces_.kind).tobytes()
+        self[word] = made
         return made
 
 
@@ -172,18 +173,45 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """``docs`` with the ``ids`` (array of int) of ``text`` added; a null text becomes empty."""
+def _id_lists(model: Pieces, texts: list[str]) -> pa.Array:
+    coded = [model.encode(t) for t in texts]
+    ends = np.append(0, np.cumsum([len(c) for c in coded])) // model.kind.itemsize
+    flat = np.frombuffer(b"".join(coded), model.kind).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
+
+
+def encode(docs: DataFrame, model_path: str, verify: bool = False) -> DataFrame:
+    """``docs`` with the ``ids`` (array of int) of ``text`` added; a null text becomes empty.
+
+    With ``verify`` the ids are decoded again and the job fails if that gives another text.
+    """
+    full = require(docs, "text").withColumn("text", text_or_empty())
+
+    def compute(column: pa.Array) -> list[pa.Array]:
+        model, texts = pieces(model_path), column.to_pylist()
+        ids = _id_lists(model, texts)
+        if verify:
+            for text, row in zip(texts, ids, strict=True):
+                if model.decode(row.values.to_pylist()) != text.replace(MARK, " "):
+                    raise ValueError(f"ids do not decode to their text: {text[:80]!r}")
+        return [ids]
+
+    return add_columns(full, "text", [_IDS], compute)
+
+
+def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: ``ids`` and ``decoded`` added."""
     full = require(docs, "text").withColumn("text", text_or_empty())
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         model = pieces(model_path)
-        coded = [model.encode(t) for t in texts.to_pylist()]
-        ends = np.append(0, np.cumsum([len(c) for c in coded])) // model.kind.itemsize
-        flat = np.frombuffer(b"".join(coded), model.kind).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+        ids = _id_lists(model, texts.to_pylist())
+        return [ids, pa.array([model.decode(row.values.to_pylist()) for row in ids], pa.string())]
 
-    return add_columns(full, "text", [T.StructField("ids", T.ArrayType(T.IntegerType(), False))], compute)
+    return add_columns(full, "text", [_IDS, T.StructField("decoded", T.StringType())], compute)
 
 
 def decode(coded: DataFrame, model_path: str, column: str = "decoded") -> DataFrame:

@@ -43,8 +43,8 @@ def op8(spark, sf):
 @query("op2_piece_codec")
 def op2(spark, sf):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = piece_codec.encode(table(spark, sf, "documents").select("doc_id", "text"), path)
-    return piece_codec.digests(piece_codec.decode(coded.select("doc_id", "ids"), path))
+    coded = piece_codec.encode_and_decode(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return piece_codec.digests(coded)
 
 
 @query("op10_rans_store")

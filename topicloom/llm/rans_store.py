@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from topicloom.llm.common import require, text_or_empty
+from topicloom.llm.common import Remembered, require, text_or_empty
 from topicloom.session import cut_lineage, shared_folder
 
 MAGIC = b"RANF"
@@ -55,28 +55,7 @@ _WORD = np.uint64(0xFFFFFFFF)
 # --- texts to ids ---------------------------------------------------------------------------------------------------
 
 
-class _Kept(dict):
-    """A bounded memory of two generations: what is asked for again outlives the older one."""
-
-    def __init__(self):
-        super().__init__()
-        self.old: dict[str, bytes] = {}
-
-    def __setitem__(self, key: str, value: bytes) -> None:
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        super().__setitem__(key, value)
-
-    def recall(self, key: str) -> bytes | None:
-        """The value if it is known; one of the older generation moves to the younger."""
-        value = self.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self[key] = value
-        return value
-
-
-class _WordIds(_Kept):
+class _WordIds(Remembered):
     """Ids of words seen before, as bytes; the library encodes new words.
 
     The tokenizer drops white space and never joins characters over it, so words encode on their own. A word of plain letters ends
@@ -89,13 +68,13 @@ class _WordIds(_Kept):
     JOINED = 64
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(CACHE)
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
-        self.letters = _Kept()
+        self.letters = Remembered(CACHE)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()

@@ -43,7 +43,7 @@ from topicloom.session import cut_lineage
 WORD = re.compile(r"\w+")
 BEGIN, END = "\x02", "\x03"
 _BATCH_WORDS = 400_000
-_KNOWN = 1_000_000
+_KNOWN = 300_000
 
 
 @dataclass(frozen=True)
