@@ -116,7 +116,7 @@ def tagged_words(spark: SparkSession, sf: str) -> DataFrame:
     tag = F.when(F.col("is_number"), "NUM").when(F.col("n_upper") * 2 > F.col("n"), "NOUN").when(F.col("n") >= 50, "FREQ")
     lexicon = shapes.where("n >= 2").select("token", tag.alias("pos_tag"))
     words = lx.without_stopwords(spelled.select(F.lower("w").alias("token")), STRONG_EXTRA_STOPWORDS)
-    return lx.tag(words, lexicon)
+    return lx.tag(lx.token_counts(words), lexicon)
 
 
 @check(
@@ -213,8 +213,8 @@ def feature_alignment(spark, sf):
 
 @check("term_frequency", f"WITH {q.TERMS} SELECT term, sum(tf)::BIGINT AS freq FROM bow GROUP BY term ORDER BY freq DESC, term LIMIT 30")
 def term_frequency(spark, sf):
-    vocab = vocabulary(spark, sf)
-    return vocab.select("term", F.col("cf").alias("freq")).orderBy(F.desc("freq"), "term").limit(30)
+    terms = counts(spark, sf)
+    return pf.term_frequency(ft.bag_of_words(terms, vocabulary(spark, sf, terms)))
 
 
 @check(

@@ -20,6 +20,7 @@ from topicloom.operators import topics as tp
 from topicloom.operators.components import connected_components
 from topicloom.operators.lda import empty_topics
 from topicloom.plans import reports as rp
+from topicloom.session import cut_lineage
 
 K_MIN, K_MAX = 3, 10
 
@@ -403,6 +404,20 @@ def nearest_topic(spark, sf):
     return found.select("vec_id", "nearest", F.round("similarity", 6).alias("similarity"))
 
 
+@check(
+    "assign_new_documents",
+    f"""WITH {VECTORS_SQL}, n AS (SELECT vec_id, topic_id, s FROM
+      (SELECT v.vec_id, cents.topic_id, list_cosine_similarity(v.e, cents.c) AS s FROM v CROSS JOIN cents)
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, topic_id) = 1)
+    SELECT vec_id, CASE WHEN s >= 0.25 THEN topic_id ELSE -1 END AS topic_id, round(s, 6) AS similarity FROM n""",
+)
+def assign_new_documents(spark, sf):
+    """Every vector against the saved centroids of the labelled ones, read back from their table."""
+    vectors = labelled_vectors(spark, sf)
+    saved = cut_lineage(sm.centroids(vectors))
+    return sm.assign_topics(vectors, saved, 0.25, doc_id="vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
 @check(
     "corrected_counts",
     f"""WITH {VECTORS_SQL}, b AS (SELECT topic_id, 'topic ' || topic_id AS name FROM v GROUP BY topic_id),

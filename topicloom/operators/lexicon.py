@@ -53,16 +53,26 @@ def in_vocabulary(tokens: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_i
     return kept.select(doc_id, (F.row_number().over(order) - 1).alias("pos"), "token")
 
 
+def token_counts(tokens: DataFrame) -> DataFrame:
+    """``(token, n)``. Tags are looked up once per distinct token, so a frequent one is a single row of the join."""
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rows(tagged: DataFrame) -> Column:
+    """How many tokens the rows of a group stand for: their ``n``, or one each without it."""
+    return F.sum("n") if "n" in tagged.columns else F.count(F.lit(1))
+
+
 def tag_distribution(tagged: DataFrame) -> DataFrame:
-    """Count and percent (two decimals) per tag."""
-    per_tag = tagged.groupBy("pos_tag").agg(F.count(F.lit(1)).alias("n"))
+    """Count and percent (two decimals) per tag, of tagged tokens or tagged token counts."""
+    per_tag = tagged.groupBy("pos_tag").agg(_rows(tagged).alias("n"))
     total = per_tag.agg(F.sum("n").alias("t")).scalar()
     return per_tag.withColumn("percentage", F.round(F.col("n") / total * 100, 2))
 
 
 def top_tokens_with_tag(tagged: DataFrame, k: int = 50) -> DataFrame:
     """The ``k`` most frequent tokens with their most frequent tag (first in tag order on ties)."""
-    per_pair = tagged.groupBy("token", "pos_tag").agg(F.count(F.lit(1)).alias("n"))
+    per_pair = tagged.groupBy("token", "pos_tag").agg(_rows(tagged).alias("n"))
     top = Window.partitionBy("token").orderBy(F.desc("n"), "pos_tag")
     ranked = per_pair.withColumn("r", F.row_number().over(top))
     return (

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as tx
@@ -132,12 +132,27 @@ def run_lda(
 
 @dataclass
 class ClusterRun:
+    """A fitted cluster model."""
+
     assigned: DataFrame
     info: DataFrame
     weights: DataFrame
     stats: DataFrame
     centroids: DataFrame
 
+    def save(self, path: str) -> None:
+        """Write every table of the model below ``path``."""
+        for f in fields(self):
+            getattr(self, f.name).write.parquet(f"{path}/{f.name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ClusterRun:
+        return cls(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)})
+
+    def assign(self, embeddings: DataFrame, threshold: float = 0.6, doc_id: str = "doc_id") -> DataFrame:
+        """Topics of new documents by their embeddings; the model stays as it is."""
+        return sm.assign_topics(embeddings, self.centroids, threshold, doc_id=doc_id)
+
 
 def run_clusters(
     docs: DataFrame, text: str = "light_text", doc_id: str = "doc_id", embeddings: DataFrame | None = None,
