@@ -70,6 +70,18 @@ def crc_fold(doc_id: object, folds: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
+def sample_by_hash(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hash of ``keys``.
+
+    The rows are counted and thinned out by their hash to a few times ``n`` before they are ordered, so that the one task which
+    orders them gets no more than that, however many tasks there are.
+    """
+    share = (4 * n + 64) / max(df.count(), 1)
+    rank = F.shiftrightunsigned(F.xxhash64(*keys), 1)
+    near = df.where(rank < int(share * 2**63)) if share < 1 else df
+    return near.orderBy(rank, *keys).limit(n)
+
+
 def runs(*keys: np.ndarray) -> np.ndarray:
     """The first index of each run of equal keys, and the length at the end."""
     n = len(keys[0])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import add_columns, require, text_or_empty
+from topicloom.llm.common import add_columns, require, sample_by_hash, text_or_empty
 from topicloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -248,7 +248,7 @@ def train(nodes: list[Nodes], labels: list[list[int]], max_features: int = 5_000
 def train_field(docs: DataFrame, max_docs: int = 1_000, max_features: int = 5_000) -> Field | None:
     """Train on a bounded sample of ``docs``; texts are labelled in the tasks, only features and edges are collected."""
     texts = require(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text")).where("text rlike '[0-9@]'")
-    picked = texts.select(F.xxhash64("doc_id").alias("rank"), F.xxhash64("text").alias("same"), "text").orderBy("rank", "same").limit(max_docs)
+    picked = sample_by_hash(texts.select("doc_id", F.xxhash64("text").alias("same"), "text"), max_docs, "doc_id", "same")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = pa.list_(pa.list_(pa.int32()))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import compute_once
-from topicloom.llm.common import WHITE, require, text_or_empty
+from topicloom.llm.common import WHITE, require, sample_by_hash, text_or_empty
 from topicloom.session import cut_lineage
 
 # The characters counted as symbols.
@@ -63,7 +63,7 @@ def trusted_ids(labels: DataFrame, max_trusted: int) -> DataFrame:
     """At most ``max_trusted`` ids, so the table may be broadcast."""
     known = require(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
     good = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    return sample_by_hash(good, max_trusted, "doc_id")
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:

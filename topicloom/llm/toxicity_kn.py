@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import add_columns, held_out, require, text_or_empty
+from topicloom.llm.common import add_columns, held_out, require, sample_by_hash, text_or_empty
 from topicloom.session import cut_lineage
 
 WORD = re.compile(r"\w+")
@@ -211,8 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     taken = min(n_toxic, n_plain, s.max_docs)
     if not taken:
         return Model(None, 0.0, prior)
-    rank = F.xxhash64("doc_id")
-    sample = known.where("toxic = 1").orderBy(rank, "doc_id").limit(taken).unionByName(known.where("toxic = 0").orderBy(rank, "doc_id").limit(taken))
+    sample = sample_by_hash(known.where("toxic = 1"), taken, "doc_id").unionByName(sample_by_hash(known.where("toxic = 0"), taken, "doc_id"))
     sample = cut_lineage(sample)  # 2 * max_docs rows at most
     texts = require(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
     texts = cut_lineage(texts.withColumn("late", held_out("doc_id", s.folds, s.calibration_fold)))
