@@ -62,8 +62,8 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` with its text's ``fp`` (long) in place of the text."""
-    keyed = require(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
+    """``(doc_id, same, fp)``: the fingerprint of each text, and a hash of it that tells texts of one id apart."""
+    keyed = require(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("same"), text_or_empty().alias("text"))
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         return [pa.array([fingerprint(t, shingle) for t in texts.to_pylist()], pa.int64())]
@@ -259,8 +259,8 @@ def fingerprint_links(reps: DataFrame, budget: int = 2, crowded: int = 16_384) -
         rows = _descend(rows.where("large").drop("large"), budget)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, crowded: int = 16_384) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row; the component is its smallest reachable ``doc_id``."""
+def _grouped(docs: DataFrame, shingle: int, budget: int, crowded: int) -> DataFrame:
+    """``(doc_id, same, fp, root, component_id)`` per row; ``root`` is a fingerprint that names the component."""
     prints = cut_lineage(fingerprints(docs, shingle))
     reps = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     links = fingerprint_links(reps.select("fp"), budget, crowded)
@@ -268,20 +268,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, crowded:
     rooted = reps.join(groups, "fp", "left")
     linked = rooted.where("root is not null")
     smallest = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    settled = linked.join(smallest, "root").select("fp", "component_id")
-    alone = rooted.where("root is null").select("fp", F.col("rep").alias("component_id"))
+    settled = linked.join(smallest, "root").select("fp", "root", "component_id")
+    alone = rooted.where("root is null").select("fp", F.col("fp").alias("root"), F.col("rep").alias("component_id"))
     named = cut_lineage(settled.unionByName(alone))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, crowded: int = 16_384) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for each row; the component is its smallest reachable ``doc_id``."""
+    return _grouped(docs, shingle, budget, crowded).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, crowded: int = 16_384) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id (rows without an id are kept).
 
-    Of rows that repeat the smallest id, one stays.
+    If the smallest id stands for several rows of its group, one of them stays. One id with different texts may stand for several groups.
     """
-    groups = near_duplicates(docs, shingle, budget)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    repeated = cut_lineage(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
-    firsts = docs.join(kept, "doc_id", "left_semi")
-    once = firsts.join(repeated, "doc_id", "left_anti").unionByName(firsts.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    groups = cut_lineage(_grouped(docs, shingle, budget, crowded).where("doc_id = component_id").select("doc_id", "same", "root"))
+    kept = cut_lineage(groups.groupBy("root", "doc_id").agg(F.min("same").alias("_same"), F.count(F.lit(1)).alias("_n")))
+    keyed = docs.where("doc_id is not null").withColumn("_same", F.xxhash64("text"))
+    of = lambda rows: keyed.join(rows.select("doc_id", "_same").distinct(), ["doc_id", "_same"], "left_semi")
+    # Only ids that repeat can leave two rows of one text.
+    once = of(kept.where("_n = 1")).unionByName(of(kept.where("_n > 1")).dropDuplicates(["doc_id", "_same"]))
     return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
