@@ -259,11 +259,10 @@ def fingerprint_links(reps: DataFrame, budget: int = 2, crowded: int = 16_384) -
         rows = _descend(rows.where("large").drop("large"), budget)
 
 
-def _grouped(docs: DataFrame, shingle: int, budget: int, crowded: int) -> DataFrame:
+def name_groups(prints: DataFrame, links: DataFrame, reps: DataFrame | None = None) -> DataFrame:
     """``(doc_id, same, fp, root, component_id)`` per row; ``root`` is a fingerprint that names the component."""
-    prints = cut_lineage(fingerprints(docs, shingle))
-    reps = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = fingerprint_links(reps.select("fp"), budget, crowded)
+    if reps is None:
+        reps = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     groups = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = reps.join(groups, "fp", "left")
     linked = rooted.where("root is not null")
@@ -274,6 +273,13 @@ def _grouped(docs: DataFrame, shingle: int, budget: int, crowded: int) -> DataFr
     return prints.join(named, "fp")
 
 
+def _grouped(docs: DataFrame, shingle: int, budget: int, crowded: int) -> DataFrame:
+    """The groups of :func:`name_groups` by fingerprints within the budget."""
+    prints = cut_lineage(fingerprints(docs, shingle))
+    reps = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    return name_groups(prints, fingerprint_links(reps.select("fp"), budget, crowded), reps)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, crowded: int = 16_384) -> DataFrame:
     """``(doc_id, fp, component_id)`` for each row; the component is its smallest reachable ``doc_id``."""
     return _grouped(docs, shingle, budget, crowded).select("doc_id", "fp", "component_id")
@@ -284,7 +290,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, crowded: int =
 
     If the smallest id stands for several rows of its group, one of them stays. One id with different texts may stand for several groups.
     """
-    groups = cut_lineage(_grouped(docs, shingle, budget, crowded).where("doc_id = component_id").select("doc_id", "same", "root"))
+    return keep_smallest(docs, _grouped(docs, shingle, budget, crowded))
+
+
+def keep_smallest(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The documents that :func:`keep_one` keeps of the groups."""
+    groups = cut_lineage(grouped.where("doc_id = component_id").select("doc_id", "same", "root"))
     kept = cut_lineage(groups.groupBy("root", "doc_id").agg(F.min("same").alias("_same"), F.count(F.lit(1)).alias("_n")))
     keyed = docs.where("doc_id is not null").withColumn("_same", F.xxhash64("text"))
     of = lambda rows: keyed.join(rows.select("doc_id", "_same").distinct(), ["doc_id", "_same"], "left_semi")
