@@ -99,3 +99,23 @@ def test_native_plan_and_empty_table(make_docs, odd):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
     assert st.digests(st.scan(make_docs([]))).collect() == []
+
+
+def test_tokens_after_equal_signs_and_of_mixed_alphabets(make_docs):
+    rng = random.Random(12)
+    alnum = string.ascii_letters + string.digits
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    data, want, odds = [], {}, {}
+    for i in range(0, 300, 5):
+        key, sig, part, mixed = some(alnum + "+/", 39) + "7", some(alnum, 39) + "7", some(alnum, 43) + "7", "+a1-" + some(alnum + "+/-_", 60)
+        # The words around the part keep the whole run from looking random.
+        path = "a/b/" + "a/" * 60
+        texts = [f"AWS_ACCESS_KEY={key}", f"get x?sig={sig} é", f"go {path}{part}_x", f"take {mixed}== now", "see " + "ab1=" * 12 + " " + "a1/b_" * 12]
+        for k, (text, inner) in enumerate(zip(texts, [key, sig, part, mixed + "==", None])):
+            data.append((i + k, text))
+            odds[i + k] = k
+            want[i + k] = "" if inner is None else f"random:{text.index(inner)}:{text.index(inner) + len(inner)}"
+    got = {r.doc_id: r.spans for r in st.digests(st.scan(make_docs(data))).collect()}
+    for k in range(5):
+        right = sum(got[i] == want[i] for i in want if odds[i] == k)
+        assert right >= 57, (k, right, [(t, got[i], want[i]) for i, t in data if odds[i] == k and got[i] != want[i]][:3])

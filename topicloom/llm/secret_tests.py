@@ -2,6 +2,8 @@
 
 Patterns give the base spans (``assign``, ``access``, ``hex``). On top, every token of ``min_chars`` or more letters, digits and ``+/_=-`` that mixes
 letters with digits is tested. Its encoding is the smallest alphabet that holds it (hexadecimal, base 32, base 36, letters and digits, base 64).
+A ``=`` ends a token unless only padding and the end of the run follow. A token that no alphabet holds, because it has ``+`` or ``/`` and also ``_`` or ``-``, is tested
+against all of these characters, and so is each of its parts of ``min_chars`` letters and digits between them; parts of a random token are not told again.
 Against the hypothesis that its characters are drawn from that alphabet at random stand three tests: chi-squared for equal frequencies, runs
 above and below the middle of the alphabet, and serial correlation of neighbours. The least of the three p-values, times three, is the
 token's. Within each class of lengths (by powers of two) the Benjamini-Hochberg rule at rate ``q``, over all tokens of all documents,
@@ -40,6 +42,8 @@ ALPHABETS = {
     "base36": string.digits + string.ascii_lowercase, "BASE36": string.digits + string.ascii_uppercase, "alnum": _BASE,
     "base64": _BASE + "+/", "base64url": _BASE + "-_",
 }
+_ALL = _BASE + "+/-_"
+_BODY = "A-Za-z0-9+/_-"
 _STEP = 100  # p-values are told apart to this many steps per power of ten
 _LAST = 1600
 
@@ -117,14 +121,15 @@ def token_p_value(token: str, alphabet: str, df: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, min_chars: int = 20, q: float = 0.01) -> DataFrame:
     """``(doc_id, base, random)`` per document: arrays of ``(start, kind, end)``, kinds numbered as listed."""
     texts = require(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    token = rf"[A-Za-z0-9+/_=-]{{{min_chars},}}"
+    padding = rf"=+(?![={_BODY}])"
+    token = rf"(?<![{_BODY}])(?:[{_BODY}]{{{min_chars},}}+(?:{padding})?|[{_BODY}]++{padding})"
     found = compute_once(
         texts,
         {
             "assign": F.filter(_places(F.col("text"), ASSIGN, 1), lambda s: s["body"] >= 8),
             "access": F.filter(_places(F.col("text"), ACCESS), lambda s: s["body"] >= 16),
             "hex": _places(F.col("text"), HEX),
-            "token": _places(F.col("text"), token),
+            "token": F.filter(_places(F.col("text"), token), lambda s: s["body"] >= min_chars),
         },
     )
     numbered = lambda c, k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
@@ -135,12 +140,19 @@ def scan(docs: DataFrame, min_chars: int = 20, q: float = 0.01) -> DataFrame:
     )
     plain = F.transform("hex", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     fresh = F.filter(cuts, lambda s: ~F.array_contains(plain, F.struct(s["start"].alias("start"), s["end"].alias("end"))) & s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]"))
-    spans = cut_lineage(found.select("doc_id", F.monotonically_increasing_id().alias("row"), base.alias("base"), fresh.alias("fresh")))
-
-    tokens = spans.select("row", F.explode("fresh").alias("t")).select("row", "t.*").withColumn("alphabet", alphabet_of(F.col("text"))).where("alphabet is not null")
+    spans = cut_lineage(found.select("doc_id", F.monotonically_increasing_id().alias("row"), base.alias("base"), fresh.alias("fresh"), plain.alias("plain")))
+
+    whole = spans.select("row", "plain", F.explode("fresh").alias("t")).select("row", "plain", "t.*").withColumn("alphabet", alphabet_of(F.col("text")))
+    # ``outer`` is the start of a token; of a part it is that of the token around it, as ``-1 - start``.
+    part = whole.where("alphabet is null").select("row", "plain", F.col("start").alias("outer"), "text", F.explode(_places(F.col("text"), rf"[A-Za-z0-9]{{{min_chars},}}+(?:=+$)?")).alias("p"))
+    part = part.select("row", "plain", "outer", (F.col("outer") + F.col("p.start")).alias("start"), (F.col("outer") + F.col("p.end")).alias("end"), F.substring("text", F.col("p.start") + 1, F.col("p.body")).alias("text"))
+    part = part.where(~F.array_contains("plain", F.struct("start", "end"))).withColumn("alphabet", alphabet_of(F.col("text"))).where("alphabet is not null")
+    names = ("row", "outer", "start", "end", "text", "alphabet")
+    tokens = whole.withColumn("outer", F.col("start")).withColumn("alphabet", F.coalesce("alphabet", F.lit(_ALL))).select(*names)
+    tokens = tokens.unionByName(part.withColumn("outer", -1 - F.col("outer")).select(*names))
     tested = token_p_value("text", "alphabet", tokens)
     step = F.least(F.floor(-F.log10("p") * _STEP), F.lit(_LAST)).cast("int")
-    tested = cut_lineage(tested.select("row", "start", "end", F.floor(F.log2(F.col("end") - F.col("start"))).cast("int").alias("length"), step.alias("step")))
+    tested = cut_lineage(tested.select("row", "outer", "start", "end", F.floor(F.log2(F.col("end") - F.col("start"))).cast("int").alias("length"), step.alias("step")))
     # Every step and length class is one row, however many tokens there are.
     counts = tested.groupBy("length", "step").agg(F.count(F.lit(1)).alias("n"))
     down = W.partitionBy("length").orderBy(F.col("step").desc())
@@ -148,7 +160,10 @@ def scan(docs: DataFrame, min_chars: int = 20, q: float = 0.01) -> DataFrame:
     passed = ranked.where(F.pow(F.lit(10.0), -F.col("step") / _STEP) <= q * F.col("rank") / F.col("m"))
     limits = passed.groupBy("length").agg(F.min("step").alias("limit"))
     kept = tested.join(limits, "length", "left").where("limit is null or step < limit")
-    random = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))).alias("random"))
+    random = kept.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end", "outer")).alias("found"))
+    outers = F.transform("found", lambda s: s["outer"])
+    outermost = F.filter("found", lambda s: (s["outer"] >= 0) | ~F.array_contains(outers, -1 - s["outer"]))
+    random = random.select("row", F.array_sort(F.transform(outermost, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).alias("random"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return spans.join(random, "row", "left").select("doc_id", "base", F.coalesce("random", none).alias("random"))
 
