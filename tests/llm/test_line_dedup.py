@@ -10,16 +10,18 @@ def lower(s):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 
 
-def brute(rows, min_documents):
+def brute(rows, min_documents, keep_first=False, same=None):
     docs = {(i, t or "") for i, t in rows}
     seen = defaultdict(set)
+    lead = lambda k: keep_first and min(seen[k], key=lambda d: (d[0] is not None, d[0] or 0, same[d]))
     for d in docs:
         for line in d[1].split("\n"):
             seen[lower(line.strip(BLANK))].add(d)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        stay = [x for x in lines if not (lower(x.strip(BLANK)) and len(seen[lower(x.strip(BLANK))]) >= min_documents)]
+        keys = [lower(x.strip(BLANK)) for x in lines]
+        stay = [x for x, k in zip(lines, keys) if not (k and len(seen[k]) >= min_documents and lead(k) != (i, t or ""))]
         out.append((i, "\n".join(stay), len(lines), len(lines) - len(stay)))
     return sorted(out, key=str)
 
@@ -48,6 +50,29 @@ def test_equals_brute_force_with_a_hot_line(spark, make_docs, words, odd):
             spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_first_document_keeps_its_lines(spark, make_docs, words, odd):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = list(odd)
+    for i in range(10, 300):
+        lines = [" ".join(rng.sample(words, 2)) for _ in range(rng.randint(0, 3))] + ["Hot line", "hot line "] * (i % 2)
+        rows.append((i, "\n".join(lines + rng.sample(["x", "y", "z", "one line"], 2))))
+    rows += [(900 + i, "a whole copy\nof two lines") for i in range(14)]
+    docs = make_docs(rows)
+    told = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"))
+    same = {(r.doc_id, r.t): r.h for r in told.collect()}
+    for parts, least in ((1, 10), (7, 10), (61, 9), (300, 2), (300, 40)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = result(ld.drop_repeated_lines(docs, least, keep_first=True))
+            assert got == brute(rows, least, True, same), (parts, least)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def test_short_keys_stay_and_bitmaps_are_small(make_docs):
     rows = [(i, "ab\nabc\n" * 2000) for i in range(12)]
     maps = ld.keep_bitmaps(make_docs(rows), 10, min_chars=3).collect()
@@ -62,8 +87,11 @@ def test_empty_table(make_docs):
 def test_clashing_columns_are_named(make_docs):
     import pytest
 
-    with pytest.raises(ValueError, match="n_lines"):
-        ld.drop_repeated_lines(make_docs([]).withColumnRenamed("lang", "n_lines"))
+    for name in ("n_lines", "n_dropped", "_line_doc", "_line_same", "_line_keep"):
+        with pytest.raises(ValueError, match=name):
+            ld.drop_repeated_lines(make_docs([]).withColumnRenamed("lang", name))
+    with pytest.raises(ValueError, match="min_documents"):
+        ld.drop_repeated_lines(make_docs([]), 1, keep_first=True)
 
 
 def test_query_digest(spark, tmp_path, make_docs, odd):

@@ -106,3 +106,8 @@ def test_one_of_each_group_stays(make_docs, words, odd):
     assert sorted(r.text for r in kept if r.doc_id == 5) == ["a", "b"]
     assert [r.text for r in kept if r.doc_id is None] == ["no id"]
     assert st.keep_one(make_docs([])).collect() == [] and set(kept[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def test_keep_one_refuses_a_clashing_column(make_docs):
+    with pytest.raises(ValueError, match="_same"):
+        st.keep_one(make_docs([(1, "a")]).withColumnRenamed("lang", "_same"))

@@ -22,6 +22,14 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def refuse(df: DataFrame, *columns: str) -> DataFrame:
+    """Raise if the input has columns that the operator adds for itself."""
+    clash = [c for c in columns if c in df.columns]
+    if clash:
+        raise ValueError(f"columns exist already: {', '.join(clash)}")
+    return df
+
+
 def text_or_empty(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

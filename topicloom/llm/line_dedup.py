@@ -10,9 +10,14 @@ over many tasks; what a task cannot decide about the keys at its two ends is set
 task. The result is one compressed keep bitmap per document that loses a line. The texts are shuffled
 once, to meet their bitmaps.
 
+``keep_first`` leaves a dropped key's lines in the first document that holds the key (smallest id, null before all).
+A task knows that document for all keys that start in it; for the key it may share with the task before it, the few
+rows at the ends of tasks tell.
+
 Defined cases: a null or empty text is one empty line, whose key is empty and never dropped. Rows that
 agree in id and text count as one document; rows with one id (or a null id) and different texts are
-different documents. Extra columns stay.
+different documents. Extra columns stay; ``_line_doc``, ``_line_same``, ``_line_keep``, ``n_lines`` and
+``n_dropped`` are refused as names of input columns.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import require, runs, text_or_empty, with_fields
+from topicloom.llm.common import refuse, require, runs, text_or_empty, with_fields
 from topicloom.session import cut_lineage
 
 # ASCII white space.
@@ -65,8 +70,12 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, _LINES)
 
 
-def _decide(min_documents: int):
-    """Stream sorted line rows; tell dropped lines, and what is left open at both ends of the task."""
+def _decide(min_documents: int, keep_first: bool = False):
+    """Stream sorted line rows; tell dropped lines, and what is left open at both ends of the task.
+
+    With ``keep_first`` the lines of a key's first document are not told, unless the key is the task's first one: an
+    earlier task may hold it too, so those lines are told as ``lead``.
+    """
 
     def batch_of(kind: str, rows: dict[str, np.ndarray], docs: np.ndarray) -> pa.RecordBatch:
         n = len(rows["pos"])
@@ -98,6 +107,15 @@ def _decide(min_documents: int):
             spread = np.repeat(np.arange(len(docs)), np.diff(cut))
             take = lambda mask: {c: rows[c][mask] for c in _LINE_NAMES}
             gone = full[spread]
+            if keep_first:
+                # A key is only decided after its second document, so the rows of its first one are all here.
+                leads = gone & (total[1:] - total[cut[:-1]][spread] == 1)
+                if known:
+                    leads &= spread > 0
+                gone &= ~leads
+                leads &= (spread == 0) & first
+                if leads.any():
+                    yield batch_of("lead", take(leads), np.zeros(leads.sum(), np.int32))
             if gone.any():
                 yield batch_of("drop", take(gone), np.zeros(gone.sum(), np.int32))
             ends = {0} if first else set()
@@ -157,20 +175,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_bitmaps(docs: DataFrame, min_documents: int = 10, min_chars: int = 1) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """``(doc, same, keep)`` for each document that loses a line.
 
     ``keep`` is a zlib-compressed bitmap, one bit per line in order; lines past its end stay.
     """
+    if keep_first and min_documents < 2:
+        raise ValueError("keep_first needs min_documents of 2 or more")
     lines = cut_lineage(line_rows(_keyed(require(docs, "doc_id", "text")), min_chars))
     key = ["h1", "h2", "doc", "same"]
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stream = lines.repartitionByRange(parts, *key).sortWithinPartitions(*key, "pos")
-    found = cut_lineage(stream.mapInArrow(_decide(min_documents), _OUT))
+    found = cut_lineage(stream.mapInArrow(_decide(min_documents, keep_first), _OUT))
     # A document's rows of a key never part, so the documents of a cut key add up over the tasks.
     ends = found.where("kind in ('open', 'sum')")
     full = ends.groupBy("h1", "h2").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents)
     late = ends.where("kind = 'open'").join(full.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    if keep_first:
+        edge = found.where("kind in ('open', 'sum', 'lead')")
+        leads = edge.groupBy("h1", "h2").agg(F.min(F.struct("doc", "same")).alias("lead"))
+        late = late.unionByName(found.where("kind = 'lead'")).join(leads, ["h1", "h2"]).where(F.struct("doc", "same") != F.col("lead"))
     dropped = found.where("kind = 'drop'").select("doc", "same", "pos").unionByName(late.select("doc", "same", "pos"))
     places = dropped.groupBy("doc", "same").agg(F.collect_set("pos").alias("places"))
 
@@ -192,10 +216,11 @@ def unpack(keep: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8, offset=4))[: int.from_bytes(raw[:4], "little")].astype(bool)
 
 
-def drop_repeated_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """The documents with ``text`` shortened to the lines that stay, ``n_lines`` (before) and ``n_dropped`` added."""
-    bitmaps = keep_bitmaps(docs, min_documents, min_chars)
     doc, same = "_line_doc", "_line_same"
+    refuse(docs, doc, same, "_line_keep", "n_lines", "n_dropped")
+    bitmaps = keep_bitmaps(docs, min_documents, min_chars, keep_first)
     keyed = docs.withColumns(
         {doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)), same: F.xxhash64("doc_id", text_or_empty()), "text": text_or_empty()}
     )

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import add_columns, require, runs, text_or_empty
+from topicloom.llm.common import add_columns, refuse, require, runs, text_or_empty
 from topicloom.operators.components import connected_components
 from topicloom.session import cut_lineage
 
@@ -294,7 +294,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, crowded: int =
 
 
 def keep_smallest(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The documents that :func:`keep_one` keeps of the groups."""
+    """The documents that :func:`keep_one` keeps of the groups; a column ``_same`` is refused."""
+    refuse(docs, "_same")
     groups = cut_lineage(grouped.where("doc_id = component_id").select("doc_id", "same", "root"))
     kept = cut_lineage(groups.groupBy("root", "doc_id").agg(F.min("same").alias("_same"), F.count(F.lit(1)).alias("_n")))
     keyed = docs.where("doc_id is not null").withColumn("_same", F.xxhash64("text"))
