@@ -208,10 +208,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     n_toxic, n_plain = counts.get(1, 0), counts.get(0, 0)
     share = n_toxic / (n_toxic + n_plain) if n_toxic + n_plain else 0.0
     prior = math.log(share / (1 - share)) if 0 < share < 1 else (-700.0 if share == 0 else 700.0)
-    taken = min(n_toxic, n_plain, s.max_docs)
-    if not taken:
+    taken = {1: min(n_toxic, s.max_docs), 0: min(n_plain, s.max_docs)}  # each class by its own bound
+    if not min(taken.values()):
         return Model(None, 0.0, prior)
-    sample = sample_by_hash(known.where("toxic = 1"), taken, "doc_id").unionByName(sample_by_hash(known.where("toxic = 0"), taken, "doc_id"))
+    sample = sample_by_hash(known.where("toxic = 1"), taken[1], "doc_id").unionByName(sample_by_hash(known.where("toxic = 0"), taken[0], "doc_id"))
     sample = cut_lineage(sample)  # 2 * max_docs rows at most
     texts = require(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
     texts = cut_lineage(texts.withColumn("late", held_out("doc_id", s.folds, s.calibration_fold)))
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     x, y = np.array([r["value"] for r in late]), np.array([r["toxic"] for r in late], float)
     if len(set(y)) < 2:
         return Model(final, 0.0, prior)
-    weight = np.where(y == 1, n_toxic / taken, n_plain / taken)
+    weight = np.where(y == 1, n_toxic / taken[1], n_plain / taken[0])
     slope, base = _logistic(x, y, weight / weight.mean())
     return Model(final, slope, base)
 
