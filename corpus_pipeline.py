@@ -13,38 +13,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import decontam, line_dedup, piece_codec, shingle_pairs, toxicity_kn
+from topicloom.llm import decontam, line_dedup, piece_codec, simhash_trie, toxicity_kn
 from topicloom.llm.registry import query, table
-from topicloom.session import cut_lineage, shared_folder
+from topicloom.session import shared_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold."""
+    """Documents whose toxicity score stays below the threshold.
+
+    Null and empty texts have a score like any text. Without a document that is labelled toxic there is no model, and all documents stay.
+    """
     settings = toxicity_kn.Settings()
     model = toxicity_kn.train(docs, table(spark, sf_dir, "labels"), settings)
     return toxicity_kn.score(docs, model, settings).where("predicted = 0").select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, without the lines that ten or more groups share; ``n_chars`` follows a changed text.
+    """Documents without the lines that ten or more share, which stay in the first document that holds them.
 
-    Copies go before lines are counted: else the lines of a text copied ten times would go from all its copies, and none would
-    stay. A document that shares every line with others stays as an empty text, and the next stage leaves one of those.
+    ``n_chars`` follows a changed text. Of a text copied ten times and more, the copy of the smallest id keeps its lines, and the others
+    become empty texts, which the next stage takes as one group. A null text comes back as an empty one.
     """
-    cut = line_dedup.drop_repeated_lines(cut_lineage(shingle_pairs.keep_one(docs)))
+    cut = line_dedup.drop_repeated_lines(docs, keep_first=True)
     return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles of similarity 0.8 or more): that of the smallest id.
+    """One document of each group whose fingerprints link within two bits (three-word shingles): that of the smallest id.
 
-    The groups of the line stage are those of whole texts; texts without their repeated lines can form new ones.
+    Empty texts have one fingerprint and are one group. Rows without an id stay.
     """
-    return shingle_pairs.keep_one(docs)
+    return simhash_trie.keep_one(docs, shingle=3, budget=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item, exact or within its edits."""
+    """Documents that hold no test item, exact or within its edits; without items all stay."""
     return decontam.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
