@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from topicloom.llm import decontam, line_dedup, pii_crf, piece_codec, pitman_yor, quality_llr, rans_store, secret_tests, simhash_trie, toxicity_kn
+from topicloom.llm import decontam, line_dedup, merkle, oracles, pii_crf, piece_codec, pitman_yor, quality_llr, rans_store, secret_tests, simhash_trie, toxicity_kn
 from topicloom.llm.common import held_out
 from topicloom.llm.registry import query, table
 
@@ -89,3 +89,8 @@ def op9(spark, sf):
 def op3(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return pii_crf.digests(pii_crf.find(docs, pii_crf.train_field(docs)))
+
+
+@query("op11_merkle_veb", oracles.MERKLE)
+def op11(spark, sf):
+    return merkle.verify(merkle.build(table(spark, sf, "documents"), merkle.without_newlines()))
