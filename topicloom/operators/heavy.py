@@ -21,12 +21,14 @@ def heavy_keys(weights: DataFrame, keys: list[str], weight: str, share: float =
 
 
 def heavy_join(
-    left: DataFrame, right: DataFrame, keys: list[str], weight: str | None = None, how: str = "inner", share: float = HEAVY_SHARE
+    left: DataFrame, right: DataFrame, keys: list[str], weight: str | None = None, how: str = "inner", share: float = HEAVY_SHARE,
+    like: DataFrame | None = None,
 ) -> DataFrame:
     """``left`` joined to ``right``, which has one row per key.
 
     ``weight`` names a column of ``right`` that tells how many rows of ``left`` hold the key, where that is known (a vocabulary's
-    document frequency); else the keys of ``left`` are counted, combined map-side. The rows of a heavy key get one of its salts by
+    document frequency); else the keys of ``like`` or ``left`` are counted, combined map-side; ``like`` is a cheaper frame with the same
+    rows. The rows of a heavy key get one of its salts by
     their hash (identical rows stay together), and its row of ``right`` is repeated once per salt, so each task gets about ``share`` of the rows of any key.
     The heavy keys are broadcast, which their number allows. ``how`` is ``inner``, ``left`` or ``left_semi``. Null keys match nothing.
     """
@@ -35,7 +37,7 @@ def heavy_join(
     clash = {_SALT, _SALTS} & {*left.columns, *right.columns}
     if clash:
         raise ValueError(f"columns exist already: {', '.join(sorted(clash))}")
-    counts = right.select(*keys, weight) if weight else left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = right.select(*keys, weight) if weight else (left if like is None else like).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     heavy = F.broadcast(heavy_keys(counts, keys, weight or "_rows", share))
     salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col(_SALTS)), F.lit(0)).cast("int")
     dealt = left.join(heavy, keys, "left").withColumn(_SALT, salt).drop(_SALTS)
