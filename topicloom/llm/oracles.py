@@ -68,3 +68,36 @@ ends AS (SELECT rid, arg_max(digest, step) AS folded_root FROM folds GROUP BY ri
 SELECT doc_id, leaf, subroot, u.digest AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = u.digest AS verified
 FROM leaves JOIN heads USING (grp) JOIN ends USING (rid) LEFT JOIN proofs USING (rid) JOIN upper_nodes u ON u.n = 1
 """
+
+# Phrases of one to five words by position; the lowest cut; phrases inside a longer one of the same count go.
+PHRASES = r"""
+WITH pieces AS (
+  SELECT doc_id, lang, generate_subscripts(p, 1) AS piece, unnest(p) AS t FROM (
+    SELECT row_number() OVER () AS doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p
+    FROM documents)
+),
+words AS (SELECT lang, list_filter(string_split(replace(t, chr(9), ' '), ' '), lambda w: w <> '') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words WHERE len(w) > 0),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS g, count(*) AS f
+  FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, g, f, string_split(g, ' ') AS w FROM grams WHERE f >= 100),
+inner_ones AS (
+  SELECT DISTINCT lang, array_to_string(w[s : s + m - 1], ' ') AS g, f
+  FROM often, (SELECT unnest([2, 3, 4]) AS m), (SELECT unnest([1, 2, 3, 4]) AS s) WHERE m < k AND s + m - 1 <= k
+),
+open_ones AS (
+  SELECT o.* FROM often o WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.lang = o.lang AND i.g = o.g AND i.f >= o.f)
+),
+cuts AS (
+  SELECT o.lang, o.g AS phrase, o.f AS a, c AS cut, l.f AS l, r.f AS r, n, (1000::HUGEINT * o.f * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM open_ones o JOIN (SELECT unnest([1, 2, 3, 4]) AS c) ON c < o.k JOIN totals USING (lang)
+  JOIN often l ON l.lang = o.lang AND l.g = array_to_string(o.w[1 : c], ' ') JOIN often r ON r.lang = o.lang AND r.g = array_to_string(o.w[c + 1 : o.k], ' ')
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) WHERE rank <= 2000
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from topicloom.llm import chunk_bpe, decontam, line_dedup, merkle, oracles, pii_crf, piece_codec, pitman_yor, quality_llr, rans_store, secret_tests, simhash_trie, toxicity_kn
+from topicloom.llm import chunk_bpe, decontam, line_dedup, merkle, oracles, phrases, pii_crf, piece_codec, pitman_yor, quality_llr, rans_store, secret_tests, simhash_trie, toxicity_kn
 from topicloom.llm.common import held_out
 from topicloom.llm.registry import query, table
 
@@ -99,3 +99,8 @@ def op11(spark, sf):
 @query("op12_chunk_bpe")
 def op12(spark, sf):
     return chunk_bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_phrase_graph", oracles.PHRASES)
+def op13(spark, sf):
+    return phrases.mine(table(spark, sf, "documents"))
