@@ -106,7 +106,7 @@ def test_a_copied_passage_is_one_path(spark):
 
 
 def test_limit_and_oracle(spark):
-    rows = [(i, t, lang) for i, t, lang in corpus(7, 900) if lang != ""]
+    rows = [r for r in corpus(7, 900) if r[2] != "rep"]
     got = sorted(map(tuple, ph.mine(frame(spark, rows)).collect()))
     assert got == brute(rows, 100) and len(got) > 20
     assert sorted(map(tuple, ph.mine(frame(spark, rows), limit=3).collect())) == [r for r in got if r[1] <= 3]
