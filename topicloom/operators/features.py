@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.functions.text import ngrams
+from topicloom.operators.heavy import heavy_join
 from topicloom.session import cut_lineage
 
 
@@ -40,8 +41,8 @@ def fit_vocabulary(
 
 
 def bag_of_words(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Counts of the kept terms. AQE broadcasts a small vocabulary and splits skewed terms of a large one."""
-    return counts.join(vocabulary.select("term"), "term", "left_semi")
+    """Counts of the kept terms; the rows of a term of many documents are dealt over tasks by its document frequency."""
+    return heavy_join(counts, vocabulary.select("term", "df"), ["term"], "df", "left_semi")
 
 
 def tf_idf(counts: DataFrame, vocabulary: DataFrame, n_docs: Column, doc_id: str = "doc_id") -> DataFrame:
@@ -50,7 +51,7 @@ def tf_idf(counts: DataFrame, vocabulary: DataFrame, n_docs: Column, doc_id: str
     The window covers one document's distinct terms, which its own text bounds.
     """
     idf = F.ln((n_docs + F.lit(1)) / (F.col("df") + F.lit(1))) + F.lit(1.0)
-    weighted = counts.join(vocabulary.select("term", "df"), "term").withColumn("w", F.col("tf") * idf)
+    weighted = heavy_join(counts, vocabulary.select("term", "df"), ["term"], "df").withColumn("w", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
     return weighted.select(doc_id, "term", "tf", (F.col("w") / norm).alias("tfidf"))
 
@@ -84,19 +85,24 @@ def numbered_vocabulary(vocabulary: DataFrame) -> DataFrame:
     return cut_lineage(dense_ids(vocabulary.select("term", "df"), ["term"], "term_id"))
 
 
+def sparse_rows(features: DataFrame, numbered: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, terms, bow, tfidf)``: each document's term numbers in order, with its counts and weights beside them."""
+    placed = heavy_join(features, numbered.select("term", "term_id", "df"), ["term"], "df").drop("df")
+    row = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), F.col("tf").cast("double").alias("tf"), "tfidf")))
+    rows = placed.groupBy(doc_id).agg(row.alias("_row"))
+    return rows.select(doc_id, F.col("_row")["i"].alias("terms"), F.col("_row")["tf"].alias("bow"), F.col("_row")["tfidf"].alias("tfidf"))
+
+
 def vectors(features: DataFrame, numbered: DataFrame, size: int, doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, bow, tfidf)``: the long features as sparse vectors of length ``size``.
 
     Rows are built from arrays and written in the form in which Spark stores vectors, so that they are read as vectors: neither
     Python nor the driver sees a term.
     """
-    placed = features.join(numbered.select("term", "term_id"), "term")
-    row = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), F.col("tf").cast("double").alias("tf"), "tfidf")))
-    rows = placed.groupBy(doc_id).agg(row.alias("_row"))
     stored = lambda value: F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("_row")["i"].alias("indices"), F.col("_row")[value].alias("values")
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("terms").alias("indices"), F.col(value).alias("values")
     )
-    table = rows.select(doc_id, stored("tf").alias("bow"), stored("tfidf").alias("tfidf"))
+    table = sparse_rows(features, numbered, doc_id).select(doc_id, stored("bow").alias("bow"), stored("tfidf").alias("tfidf"))
     kinds = T.StructType([table.schema[doc_id], T.StructField("bow", VectorUDT()), T.StructField("tfidf", VectorUDT())])
     # In one order, so that repeated fits are identical.
     return cut_lineage(table.sortWithinPartitions(doc_id), kinds)

@@ -17,9 +17,9 @@ from topicloom.operators import features as ft
 from topicloom.operators import lda
 from topicloom.operators import lexicon as lx
 from topicloom.operators import similarity as sm
-from topicloom.operators.coherence import TOP_WORDS, coherence_cv
 from topicloom.operators.hierarchy import merge_topics
 from topicloom.operators.topics import corrected_counts
+from topicloom.schema import require_variant
 from topicloom.session import cut_lineage
 
 # Fixed value: word characters in a row.
@@ -96,7 +96,7 @@ def vectorise_corpus(
 
 @dataclass
 class LdaRun:
-    model: object
+    model: lda.TopicModel
     k: int
     topic_words: DataFrame
     doc_topics: DataFrame
@@ -108,25 +108,35 @@ def run_lda(
     corpus: Corpus, variants: tuple[str, ...] = ("bow", "tfidf"), auto_k: bool = True, k: int = lda.K_FIXED,
     k_min: int = lda.K_MIN, k_max: int = lda.K_MAX, settings: lda.LdaSettings = lda.LdaSettings(), doc_id: str = "doc_id",
 ) -> dict[str, LdaRun]:
-    """Both variants: choose K by coherence (or take ``k``), train, and build the tables."""
+    """Both variants: choose K by coherence (or take ``k``), train, and build the tables.
+
+    The sweep's model of the chosen K is the trained one. The documents are dealt into buckets once for all fits.
+    """
+    for variant in variants:
+        require_variant(variant)
     numbered = ft.numbered_vocabulary(corpus.vocabulary)
     n_terms = numbered.count()
     analysed = corpus.docs.select(doc_id, tx.ngrams(F.col("tokens"), corpus.settings["ngram_range"]).alias("terms"))
-    # A written table in a fixed order keeps repeated fits identical.
-    vectors = ft.vectors(corpus.features, numbered, n_terms, doc_id)
+    rows = cut_lineage(ft.sparse_rows(corpus.features, numbered, doc_id))
     sequences = lx.in_vocabulary(lx.positioned(analysed, F.col("terms"), doc_id), corpus.vocabulary, doc_id)
     token_lists = cut_lineage(lx.recollect(sequences, "token", doc_id))
     if token_lists.isEmpty():
         raise ValueError("every token list is empty: check the vectoriser settings")
     n = token_lists.count()
+    buckets = lda.deal(rows, n_terms, settings, doc_id)
     out = {}
     for variant in variants:
-        sweep = lda.sweep_k(vectors, token_lists, numbered, variant, k_min, k_max, settings) if auto_k else None
-        chosen = lda.choose_k(sweep) if auto_k else k
-        model = lda.train_lda(vectors, variant, chosen, settings)
-        coherence = coherence_cv(token_lists, lda.topic_words(model, numbered, TOP_WORDS)).first()["coherence_c_v"]
-        info = lda.training_info(vectors.sparkSession, variant, chosen, coherence, n, n_terms, settings)
-        out[variant] = LdaRun(model, chosen, lda.topic_words(model, numbered), lda.doc_topics(model, vectors, doc_id), info, sweep)
+        if auto_k:
+            sweep, models = lda.sweep_k(buckets, rows, token_lists, numbered, variant, k_min, k_max, settings, doc_id)
+            model = models[lda.choose_k(sweep)]
+            coherence = sweep.where(F.col("k") == model.k).first()["coherence_c_v"]
+        else:
+            sweep, model = None, lda.fit(buckets, variant, [k], settings)[0]
+            coherence = lda.coherences([model], token_lists, numbered, doc_id)[0]
+        info = lda.training_info(rows.sparkSession, variant, model, coherence, n, n_terms, settings)
+        topics = lda.doc_topics(model, rows, variant, settings, doc_id)
+        out[variant] = LdaRun(model, model.k, lda.topic_words(model, numbered), topics, info, sweep)
+    buckets.drop()
     return out
 
 
