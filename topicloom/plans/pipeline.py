@@ -167,7 +167,7 @@ class ClusterRun:
 def run_clusters(
     docs: DataFrame, text: str = "light_text", doc_id: str = "doc_id", embeddings: DataFrame | None = None,
     encoder: Callable[[list[str]], list[list[float]]] | None = None, n_components: int = 10, min_topic_size: int = 40,
-    levels: int = 6, threshold: float = 0.6, nr_topics: int | str | None = None, min_classes: int = 2,
+    min_samples: int = 1, threshold: float = 0.6, nr_topics: int | str | None = None, min_classes: int = 2,
     stopwords: Iterable[str] | None = None,
 ) -> ClusterRun:
     """Embed, reduce, cluster, name the topics, then hand confident outliers to their nearest topic."""
@@ -176,7 +176,7 @@ def run_clusters(
         embeddings = em.encode(docs, text, encoder, doc_id) if encoder else em.hashed_embeddings(docs, tx.words(F.col(text)), doc_id)
     embeddings = cut_lineage(embeddings)
     _, reduced = em.reduce_dims(embeddings, n_components, doc_id)
-    before = cut_lineage(cl.density_clusters(cut_lineage(reduced), min_topic_size, levels, doc_id))
+    before = cut_lineage(cl.density_clusters(cut_lineage(reduced), min_topic_size, min_samples, doc_id))
     terms = ct.topic_terms(F.col(text), stop)
 
     def weigh(assigned: DataFrame) -> DataFrame:
