@@ -75,3 +75,30 @@ def test_reconcile_keywords(spark):
 def test_numbered_list_cuts_each_text(spark):
     df = spark.createDataFrame([(["abcdef", "x"],)], "t array<string>")
     assert df.select(tx.numbered_list(F.col("t"), 3)).first()[0] == "1. abc\n2. x"
+
+
+def test_email_pattern_in_linear_time_matches_the_plain_one():
+    import random
+    import re
+    import time
+
+    plain, fast = (re.compile(p.replace("(?U)", "")) for p in (tx.EMAIL, tx.EMAIL_RUN))
+    rng = random.Random(3)
+    for _ in range(30_000):
+        text = "".join(rng.choice("ab@@.. \u00a0\né") for _ in range(rng.randint(0, 14)))
+        assert fast.sub("|", text) == plain.sub("|", text), text
+    start = time.time()
+    for text in ("a" * 400_000 + " x@", "@" * 400_000, "a@" * 200_000, "." * 400_000 + "@", "a@b" * 100_000):
+        fast.sub("|", text)
+    assert time.time() - start < 2
+
+
+def test_long_runs_with_an_at_sign_stay_linear(spark):
+    import time
+
+    df = spark.createDataFrame([("x" * n + " me@home.de " + "@" * n,) for n in (40_000, 400_000)], "t string")
+    df.select(tx.strip_emails(F.lit("a@b.c"))).collect()
+    start = time.time()
+    out = [r[0] for r in df.select(tx.strip_emails(F.col("t"))).collect()]
+    assert time.time() - start < 10
+    assert [len(o) for o in out] == [2 * 40_000 + 3, 2 * 400_000 + 3]

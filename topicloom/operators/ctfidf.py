@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import ngrams
+from topicloom.operators.heavy import heavy_join
 from topicloom.operators.ranking import top_n
 
 
@@ -43,9 +44,10 @@ def c_tf_idf(counts: DataFrame, cls: str, min_classes: int = 2) -> DataFrame:
         .withColumn("_classes", F.count(F.lit(1)).over(per_term))
         .where(F.col("_classes") >= min_classes)
     )
-    totals = kept.groupBy(cls).agg(F.sum("n").alias("class_total"))
+    totals = kept.groupBy(cls).agg(F.sum("n").alias("class_total"), F.count(F.lit(1)).alias("_rows"))
     mean_total = totals.agg(F.floor(F.avg("class_total"))).scalar()
-    return kept.join(totals, cls).select(
+    # A class holds many terms.
+    return heavy_join(kept, totals, [cls], "_rows").select(
         cls, "term", "n",
         F.ln(mean_total / F.col("f") + F.lit(1.0)).alias("idf"),
         (F.col("n") / F.col("class_total")).alias("share"),
@@ -73,7 +75,8 @@ def nearest_documents(
     doc_counts: DataFrame, weights: DataFrame, cls: str, n: int = 3, doc_id: str = "doc_id"
 ) -> DataFrame:
     """The ``n`` documents of each class whose own weighted terms are closest to the class (cosine)."""
-    cell = doc_counts.join(weights.select(cls, "term", "idf", "weight"), [cls, "term"])
+    # A class's count of a term bounds the documents that hold it.
+    cell = heavy_join(doc_counts, weights.select(cls, "term", "idf", "weight", F.col("n").alias("_class_n")), [cls, "term"], "_class_n")
     own = F.col("n") * F.col("idf")  # the document's length scales out of the cosine
     sims = cell.groupBy(cls, doc_id).agg(
         F.sum(own * F.col("weight")).alias("_dot"), F.sqrt(F.sum(own * own)).alias("_len")

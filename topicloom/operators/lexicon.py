@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.operators.heavy import heavy_join
+
 
 def positioned(docs: DataFrame, tokens: Column, doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, pos, token)`` in text order."""
@@ -22,10 +24,10 @@ def recollect(tokens: DataFrame, column: str = "token", doc_id: str = "doc_id")
 def lemmatise(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Adds ``lemma`` from ``(token, lemma)``; a token without an entry is its own lemma.
 
-    Spark broadcasts a lexicon that is measured to be small and shuffles a large one.
+    The rows of a frequent token are dealt over several tasks.
     """
     found = lexicon.select("token", F.col("lemma").alias("_lemma"))
-    return tokens.join(found, "token", "left").withColumn("lemma", F.coalesce("_lemma", "token")).drop("_lemma")
+    return heavy_join(tokens, found, ["token"], how="left").withColumn("lemma", F.coalesce("_lemma", "token")).drop("_lemma")
 
 
 def tag(tokens: DataFrame, lexicon: DataFrame, default: str = "X") -> DataFrame:
@@ -48,7 +50,9 @@ def without_stopwords(tokens: DataFrame, stopwords: Iterable[str]) -> DataFrame:
 
 def in_vocabulary(tokens: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Tokens that are vocabulary terms, repeats kept, renumbered within their document."""
-    kept = tokens.join(vocabulary.select(F.col("term").alias("token")), "token", "left_semi")
+    weight = next((c for c in ("cf", "df") if c in vocabulary.columns), None)  # else the tokens are counted
+    terms = vocabulary.select(F.col("term").alias("token"), *[F.col(c).cast("long").alias("_weight") for c in [weight] if c])
+    kept = heavy_join(tokens, terms, ["token"], "_weight" if weight else None, "left_semi")
     order = Window.partitionBy(doc_id).orderBy("pos")
     return kept.select(doc_id, (F.row_number().over(order) - 1).alias("pos"), "token")
 
