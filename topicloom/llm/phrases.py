@@ -41,8 +41,8 @@ LONGEST = 5
 UNKNOWN_LANG = "und"
 SEGMENT_BITS = 16
 _MAX_BUCKET_BITS = 27
-_FLUSH = 4_000_000  # pairs or windows held by a task before they are added up
-_MAX_WORDS = 1_000_000  # numbered by a task before it starts anew
+_FLUSH = 1_500_000  # pairs or windows held by a task before they are added up
+_MAX_WORDS = 500_000  # numbered by a task before it starts anew
 # Piece ends become line breaks, tabs blanks, and A-Z lower case.
 _PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 9 + b" abcdefghijklmnopqrstuvwxyz")
 
@@ -135,7 +135,7 @@ def open_buckets(docs: DataFrame, bits: int, min_count: int) -> np.ndarray:
         for batch in _slices(batches):
             ids = _numbered(words, batch)
             pairs = words.buckets(ids, bits)[(ids[:-1] > 0) & (ids[1:] > 0)]
-            held.append((pairs, np.ones(len(pairs), np.int64)))
+            held.append((pairs.astype(np.int32), np.ones(len(pairs), np.int32)))
             size += len(pairs)
             if size > _FLUSH:
                 held = [summed()]
@@ -181,14 +181,15 @@ def windows(docs: DataFrame, opened: np.ndarray, bits: int) -> DataFrame:
             rows = rows[:, np.lexsort(rows[::-1])]
             cut = runs(*rows)
             ones = np.flatnonzero(alone)
-            grams = [(i,) for i in ones.tolist()] + [[i for i in row if i] for row in rows[:, cut[:-1]].T.tolist()]
-            counts = np.append(alone[ones], np.diff(cut))
+            single = np.zeros((LONGEST, len(ones)), np.int32)
+            single[0] = ones
+            grams, counts = np.append(single, rows[:, cut[:-1]], axis=1), np.append(alone[ones], np.diff(cut))
             names, langs = words.names, words.langs
-            for at in range(0, len(grams), 50_000):
-                part = grams[at : at + 50_000]
+            for at in range(0, len(counts), 20_000):
+                part = [[i for i in row if i] for row in grams[:, at : at + 20_000].T.tolist()]
                 columns = [
                     pa.array([langs[g[0]] for g in part], pa.string()), pa.array([b" ".join([names[i] for i in g]).decode() for g in part], pa.string()),
-                    pa.array([len(g) for g in part], pa.int32()), pa.array(counts[at : at + 50_000]),
+                    pa.array([len(g) for g in part], pa.int32()), pa.array(counts[at : at + 20_000]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "k", "n"])
 
