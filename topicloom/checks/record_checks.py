@@ -18,9 +18,10 @@ from topicloom.operators.features import dense_ids
 from topicloom.operators.ranking import examples_per_category
 from topicloom.plans.pipeline import clean_corpus, drop_blank_both
 from topicloom.plans.reports import trend_by_month
-from topicloom.session import shared_folder
+from topicloom.session import cut_lineage, shared_folder
 from topicloom.sources.readers import cleaned_table, corpus_for, raw_columns, read_landed_json, read_raw_csv
 from topicloom.sources.timebins import adaptive_time_bins, plan_year_windows
+from topicloom.streaming.latest import LatestTable
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,6 +204,17 @@ def merge_open_closed(spark, sf):
     return dd.merge_by_status(*slices(spark, sf), "id", "ts", "seq")
 
 
+@check("merge_by_batches", f"WITH {SLICES_SQL} SELECT * FROM merged")
+def merge_by_batches(spark, sf):
+    """The same merge by three batches into a keep-latest table, the second of which runs twice."""
+    opened, closed = slices(spark, sf)
+    rows = cut_lineage(opened.withColumn("part", F.lit(0)).unionByName(closed.withColumn("part", F.lit(1))))
+    latest = LatestTable(spark, f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}", rows.schema, "id", "ts", ("part", "seq"), 16)
+    for batch in (0, 1, 1, 2):
+        latest.upsert(rows.where(F.pmod(F.xxhash64("id", "seq"), F.lit(3)) == batch), batch)
+    return latest.read().drop("part")
+
+
 @check(
     "merge_counts",
     f"""WITH {SLICES_SQL} SELECT (SELECT count(*) FROM op) + (SELECT count(*) FROM cl) AS before, count(*) AS after,
