@@ -365,7 +365,8 @@ def representative_docs_by_class(spark, sf):
 def nearest(spark: SparkSession, sf: str, n: int) -> DataFrame:
     per_doc = class_counts(by_language(spark, sf), per_doc=True)
     per_class = per_doc.groupBy("topic_id", "term").agg(F.sum("n").alias("n"))
-    return ct.nearest_documents(per_doc, ct.c_tf_idf(per_class, "topic_id", 1), "topic_id", n)
+    weights = cut_lineage(ct.c_tf_idf(per_class, "topic_id", 1))  # read several times
+    return ct.nearest_documents(per_doc, weights, "topic_id", n)
 
 
 # Embeddings with their label as topic; label 9 stands for the outliers.
