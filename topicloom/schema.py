@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# The columns of raw records.
 RAW_SCHEMA = T.StructType(
     [
         T.StructField("service_request_id", T.StringType()),
@@ -23,6 +24,7 @@ CLEANED_COLUMNS = ("description", "strong_text", "light_text")
 # The settings a vectorised corpus has to carry.
 SETTING_KEYS = ("lowercase", "token_pattern", "ngram_range", "min_df", "max_df")
 
+# Names of the weightings and of the label languages, and the topic of outliers.
 LDA_VARIANTS = ("bow", "tfidf")
 LANGUAGES = ("de", "en")
 OUTLIER = -1
