@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -59,19 +60,19 @@ def test_small_cache_changes_nothing(monkeypatch):
     words, whole = rs._WordIds(VOCAB), Tokenizer.from_file(VOCAB)
     for t in odd_texts(200, 2):
         assert np.frombuffer(own.encode(t), own.kind).tolist() == library.encode(t)
-        split = t.replace("\n", " ").split(" ")
-        words.learn(set(split))
-        got = b"".join(map(words.__getitem__, split))
-        assert np.frombuffer(got, words.kind).tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert words.ids(pa.array([t]))[1].tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
 def test_words_equal_the_library():
     words, whole = rs._WordIds(VOCAB), Tokenizer.from_file(VOCAB)
     texts = [*odd_texts(6000, 3), "À Éa ßx µm ªº ÿŸ Ĳ ĳ ŉ Ā. ı, ÇA!?"]
-    words.learn(set().union(*(t.replace("\n", " ").split(" ") for t in texts[::2])))
-    for t in texts:
-        got = np.frombuffer(b"".join(map(words.__getitem__, t.replace("\n", " ").split(" "))), words.kind).tolist()
-        assert got == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    for part in (texts[::2], texts, [], [""], ["", "a", "", "\n"]):
+        counts, ids = words.ids(pa.array(part, pa.string()).slice(0))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])][: len(part)] == [whole.encode(t, add_special_tokens=False).ids for t in part]
+    counts, ids = words.ids(pa.array(texts).slice(7, 20))
+    assert len(counts) == 20 and ids.tolist() == [i for t in texts[7:27] for i in whole.encode(t, add_special_tokens=False).ids]
+    words.ids(pa.array(["x" * 65 + " " + "9" * 80 + " short"]))
+    assert max(map(len, [*words.letters, *words.letters.old, *words.others, *words.others.old])) <= words.LONG
 
 
 @pytest.mark.parametrize("n", [1, 31, 32, 33, 4000, 32768, 40000, 70000])
@@ -118,7 +119,7 @@ def test_store_round_trip(spark, make_docs, odd, tmp_path, words, monkeypatch):
     for r in rows:
         assert r.start == at and r.ids in want[r.doc_id]
         at += len(r.ids)
-    sums = {(r.start, r.n_tokens): r.ids_crc32 for r in rs.with_checksum(rs.read_store(spark, folder)).collect()}
+    sums = {(r.start, r.n_tokens): r.ids_crc32 for r in rs.read_store(spark, folder, checksums=True).collect()}
     assert sums == {(r.start, len(r.ids)): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows}
     empty = rs.write_store(make_docs([]), VOCAB, 2, f"{tmp_path}/none")
     assert rs.read_store(spark, empty).collect() == []

@@ -51,7 +51,7 @@ def op2(spark, sf):
 def op10(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     folder = rans_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return rans_store.with_checksum(rans_store.read_store(spark, folder))
+    return rans_store.read_store(spark, folder, checksums=True)
 
 
 @query("op5_decontam")

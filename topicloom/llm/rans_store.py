@@ -31,6 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,9 @@ LANES = 32
 BLOCK_STEPS = 1024
 CHECKPOINT_STEPS = 256
 FRAME_IDS = 1 << 21
-CACHE = 250_000
+TOGETHER = 64  # blocks coded at once
+CACHE = 200_000
+CHUNK = 4 << 20
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _WORD = np.uint64(0xFFFFFFFF)
@@ -55,67 +58,94 @@ _WORD = np.uint64(0xFFFFFFFF)
 # --- texts to ids ---------------------------------------------------------------------------------------------------
 
 
-class _WordIds(Remembered):
+class _WordIds:
     """Ids of words seen before, as bytes; the library encodes new words.
 
     The tokenizer drops white space and never joins characters over it, so words encode on their own. A word of plain letters ends
     with the one id that carries the end of a word, so many go to the library in one text and are told apart afterwards; punctuation marks
-    after it are looked up by themselves.
+    after it are looked up by themselves. Texts are split and equal words found by Arrow, so Python sees each distinct word of a
+    batch once. Longer words than ``LONG`` hardly come again and are not remembered.
     """
 
     MARKS = ".,;:!?"
+    # Letters below U+0130, where lower-casing and composing map one letter to one letter.
+    LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+$"
     END = "</w>"
     JOINED = 64
+    LONG = 64
 
     def __init__(self, path: str):
-        super().__init__(CACHE)
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
-        self.letters = Remembered(CACHE)
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def core(self, word: str) -> str:
-        """The lower-cased letters of a word that is plain letters and marks, else nothing.
-
-        Below U+0130 lower-casing and composing map one letter to one letter.
-        """
-        core = word.rstrip(self.MARKS)
-        return core.lower() if core.isalpha() and max(core) < "\u0130" else ""
-
-    def learn(self, words: set[str]) -> None:
-        """Encode all words that are not known yet."""
-        new = words - self.keys() - self.old.keys()
-        cores = [c for c in {c for c in map(self.core, new) if c} if self.letters.recall(c) is None]
-        rows = [cores[at : at + self.JOINED] for at in range(0, len(cores), self.JOINED)]
-        coded = self.library.encode_batch_fast([" ".join(row) for row in rows], add_special_tokens=False)
-        for row, code in zip(rows, coded, strict=True):
+        self.letters, self.others = Remembered(CACHE), Remembered(CACHE)
+
+    def known(self, words: list[str], memory: Remembered, encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of distinct words, from the memory or else from the library."""
+        made = list(map(memory.get, words))
+        missing = [i for i, ids in enumerate(made) if ids is None]
+        older = list(map(memory.old.get, (words[i] for i in missing)))
+        new = [i for i, ids in zip(missing, older, strict=True) if ids is None]
+        coded = iter(encode([words[i] for i in new]))
+        for i, ids in zip(missing, older, strict=True):
+            made[i] = ids = next(coded) if ids is None else ids
+            if len(words[i]) <= self.LONG:
+                memory[words[i]] = ids
+        return made
+
+    def spell(self, words: list[str]) -> list[bytes]:
+        """Encode words of plain letters, many in one text."""
+        rows = [words[at : at + self.JOINED] for at in range(0, len(words), self.JOINED)]
+        out = []
+        for row, code in zip(rows, self.library.encode_batch_fast([" ".join(row) for row in rows], add_special_tokens=False), strict=True):
             ids = np.array(code.ids, self.kind)
             cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
             raw = ids.tobytes()
-            for core, a, b in zip(row, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.letters[core] = raw[a:b]
-        for word in new:
-            self[word]
-
-    def __missing__(self, word: str) -> bytes:
-        made = self.old.get(word)
-        if made is None:
-            core = self.core(word)
-            if core:
-                made = self.letters.recall(core)
-                if made is None:
-                    made = self.letters[core] = self.plain(core)
-                if len(word) > len(core):
-                    made += self[word[len(core) :]]
-            else:
-                made = self.plain(word)
-        self[word] = made
-        return made
+            out += [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return out
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        return [np.array(code.ids, self.kind).tobytes() for code in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def parts(self, words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+        """Two numbers for each of some distinct words, of its letters and of the marks after them, and the ids that the numbers stand for."""
+        cores = pc.utf8_rtrim(words, characters=self.MARKS)
+        plain = pc.match_substring_regex(cores, self.LETTERS)
+        marks = pc.extract_regex(words, "(?P<m>[" + self.MARKS + "]*)$").field("m")
+        groups = (
+            (pc.utf8_lower(cores.filter(plain)), self.letters, self.spell),
+            (words.filter(pc.invert(plain)), self.others, self.plain),
+            (pc.if_else(plain, marks, ""), self.others, self.plain),
+        )
+        made, at = [], []
+        for texts, memory, encode in groups:
+            coded = texts.dictionary_encode()
+            at.append(coded.indices.to_numpy() + np.int64(len(made)))
+            made += self.known(coded.dictionary.to_pylist(), memory, encode)
+        mask = plain.to_numpy(zero_copy_only=False)
+        both = np.zeros((len(words), 2), np.int32)
+        both[mask, 0], both[~mask, 0], both[:, 1] = at
+        return both, made
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids one after the other."""
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, self.kind)
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        both, made = self.parts(words.dictionary.cast(pa.string()))
+        # A slice holds about CHUNK bytes or one text, and Spark's rows end at 2 GB, so 32 bits number its ids.
+        sizes = np.fromiter(map(len, made), np.int32, len(made)) // self.kind.itemsize
+        starts = np.append(0, np.cumsum(sizes, dtype=np.int32))
+        flat = np.frombuffer(b"".join(made), self.kind)
+        which = both[words.indices.to_numpy()].ravel()
+        n = sizes[which]
+        ends = np.cumsum(n, dtype=np.int32)
+        ids = flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1], dtype=np.int32)]
+        offsets = lists.offsets.to_numpy()
+        return np.diff(np.append(0, ends)[2 * (offsets - offsets[0])]), ids
 
 
 @cache
@@ -130,27 +160,34 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         words = _word_ids(tokenizer_path)
-        look = words.__getitem__
         pack = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
-        end = np.array([end_id], words.kind).tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                counts, sums, packed = [], [], []
-                texts = [text.replace("\n", " ").split(" ") for text in batch.column("text").to_pylist()]
-                words.learn(set().union(*texts))
-                for text in texts:
-                    raw = b"".join(map(look, text)) + end
-                    ids = np.frombuffer(raw, words.kind)
-                    counts.append(len(ids))
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                    packed.append(pack(raw))
+            for batch in _by_bytes(whole, whole.column("text")):
+                counts, ids = words.ids(batch.column("text"))
+                counts, ends = counts + 1, np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id)
+                sums, packed = [], []
+                for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                    own = ids[end - n : end]
+                    sums.append(zlib.crc32(own.astype("<u4")))
+                    packed.append(pack(own.tobytes()))
                 made = [pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n", "crc", "packed"])
 
     return keyed.mapInArrow(run, "doc_id long, n long, crc long, packed binary")
 
 
+def _by_bytes(batch: pa.RecordBatch, texts: pa.Array, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes of text, of a row at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def unpack_ids(packed: bytes, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
@@ -162,8 +199,11 @@ def frequencies(tokens: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for packed in batch.column("packed").to_pylist():
-                total += np.bincount(unpack_ids(packed, kind), minlength=size)
+            rows = batch.column("packed")
+            for at in range(0, len(rows), 256):
+                # One count for many documents: each count walks the whole vocabulary.
+                raw = b"".join(unpack_ids(p, kind).data for p in rows.slice(at, 256).to_pylist())
+                total += np.bincount(np.frombuffer(raw, kind), minlength=size)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
@@ -268,8 +308,8 @@ def encode_frame(table: Table, doc_ids: list[int | None], lengths: np.ndarray, i
     size = BLOCK_STEPS * LANES
     whole = len(ids) // size
     blocks = []
-    for at in range(0, whole, 64):
-        blocks += table.encode(ids[at * size : min(at + 64, whole) * size].reshape(-1, size), BLOCK_STEPS)
+    for at in range(0, whole, TOGETHER):
+        blocks += table.encode(ids[at * size : min(at + TOGETHER, whole) * size].reshape(-1, size), BLOCK_STEPS)
     rest = ids[whole * size :]
     if len(rest):
         blocks += table.encode(rest[None], -(-len(rest) // LANES))
@@ -298,8 +338,8 @@ def decode_frame(table: Table, frame: bytes) -> tuple[list[int | None], np.ndarr
         at += 4 + size
     parts: list[np.ndarray] = []
     full = n_blocks - (n_ids % (BLOCK_STEPS * LANES) > 0)
-    for i in range(0, full, 64):
-        parts += table.decode(blocks[i : min(i + 64, full)])
+    for i in range(0, full, TOGETHER):
+        parts += table.decode(blocks[i : min(i + TOGETHER, full)])
     if full < n_blocks:
         parts += table.decode(blocks[full:])
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -353,8 +393,12 @@ def _frames(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """``(doc_id, start, ids)`` of every document, decoded from the frames; ``start`` counts the ids before it."""
+def read_store(spark: SparkSession, folder: str, checksums: bool = False) -> DataFrame:
+    """``(doc_id, start, ids)`` of every document, decoded from the frames; ``start`` counts the ids before it.
+
+    With ``checksums``, ``(doc_id, start, n_tokens, ids_crc32)``: the number of the decoded ids and their checksum as little-endian
+    unsigned 32-bit integers, taken in the task that decodes, so that the ids themselves need not leave it.
+    """
     rows = spark.read.parquet(f"{folder}/table").collect()  # one row per id of the vocabulary
     counts = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
@@ -375,26 +419,19 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
             for start, frame in zip(batch.column("start").to_pylist(), batch.column("frame"), strict=True):
                 docs, lengths, ids = decode_frame(table, frame.as_py())
                 ends = np.append(0, np.cumsum(lengths))
+                ids = ids.astype("<u4")
+                raw = memoryview(ids).cast("B")
                 for a in range(0, len(docs), 2048):
                     b = min(a + 2048, len(docs))
-                    offsets = pa.array(ends[a : b + 1] - ends[a], pa.int32())
-                    values = pa.array(ids[ends[a] : ends[b]].astype(np.int32))
-                    columns = [pa.array(docs[a:b], pa.int64()), pa.array(start + ends[a:b]), pa.ListArray.from_arrays(offsets, values)]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "ids"])
-
-    return placed.select("start", "frame").mapInArrow(run, "doc_id long, start long, ids array<int>")
-
-
-def with_checksum(decoded: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)``: the checksum of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            ends = lists.offsets.to_numpy()
-            raw = memoryview(lists.values.to_numpy().astype("<u4").tobytes())
-            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            columns = [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return decoded.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                    columns = [pa.array(docs[a:b], pa.int64()), pa.array(start + ends[a:b])]
+                    if checksums:
+                        sums = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(ends[a:b].tolist(), ends[a + 1 : b + 1].tolist(), strict=True)]
+                        columns += [pa.array(lengths[a:b]), pa.array(sums, pa.int64())]
+                    else:
+                        values = pa.array(ids[ends[a] : ends[b]].view("<i4"))
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a], pa.int32()), values))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] if checksums else ["doc_id", "start", "ids"]
+    kinds = "n_tokens long, ids_crc32 long" if checksums else "ids array<int>"
+    return placed.select("start", "frame").mapInArrow(run, f"doc_id long, start long, {kinds}")
