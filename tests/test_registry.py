@@ -37,4 +37,5 @@ def test_queries_without_oracle_are_the_trained_or_sampled_ones():
     assert own(set(entry.queries()) - set(entry.oracle_sql())) == {
         "sample_texts", "hashed_embeddings", "reduced_dims", "density_clusters", "cluster_run_report", "topic_map",
         "document_map", "knn_graph", "lda_topic_words", "lda_doc_topics", "k_sweep", "lda_training_info",
+        "topic_hierarchy_average", "topic_map_js",
     }
