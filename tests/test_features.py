@@ -93,3 +93,31 @@ def test_cleaning_with_a_lexicon(spark):
     lexicon = spark.createDataFrame([("Lampen", "Lampe")], "token string, lemma string")
     got = clean_corpus(records, "id", "t", ["die", "sind"], lexicon).collect()
     assert [(r["id"], r["strong_text"], r["light_text"]) for r in got] == [(1, "lampe kaputt", "die lampen sind kaputt")]
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 1 << 19])
+def test_rows_of_one_id_are_one_document_in_every_chunk(spark, monkeypatch, chunk):
+    from collections import Counter
+
+    monkeypatch.setattr(ft, "_CHUNK_TERMS", chunk)
+    rows = [(i % 7 if i % 5 else None, ["a", "b", None, f"w{i % 3}"][: i % 5] if i % 11 else None) for i in range(60)]
+    want = Counter((i, t) for i, ts in rows for t in ts or [] if t is not None)
+    df = spark.createDataFrame(rows, "doc_id int, t array<string>")
+    # The counter's own rows, batch by batch, as Spark hands them over.
+    import pyarrow as pa
+
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int32()), pa.array([t for _, t in part], pa.list_(pa.string()))], ["doc_id", "t"])
+               for part in (ordered[:9], ordered[9:10], ordered[10:])]
+    made = [r for b in ft._counted(["doc_id", "term", "tf"])(iter(batches)) for r in b.to_pylist()]
+    assert Counter({(r["doc_id"], r["term"]): r["tf"] for r in made}) == want and len(made) == len(want)
+    got = ft.term_counts(df, F.col("t"), ngram_range=(1, 1)).collect()
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in got} == want and len(got) == len(want)
+
+
+def test_counts_shuffle_documents_not_terms(spark):
+    """No shuffle for ids that come once, else one of token lists; before, every pair of document and term went through one map and a shuffle."""
+    plan = lambda ids: ft.term_counts(spark.createDataFrame([(i, ["a", "b"]) for i in ids], "doc_id int, t array<string>"), F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    once, twice = plan([1, 2]), plan([1, 1])
+    assert "Exchange" not in once and "HashAggregate" not in once + twice
+    assert twice.count("Exchange hashpartitioning") == 1 and twice.index("Exchange hashpartitioning") > twice.index("MapInArrow")

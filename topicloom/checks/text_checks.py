@@ -14,6 +14,7 @@ from topicloom.operators import lexicon as lx
 from topicloom.operators import profile as pf
 from topicloom.plans.pipeline import vector_shape
 from topicloom.plans.reports import term_frequencies
+from topicloom.session import cut_lineage
 from topicloom.sources.readers import alignment
 
 
@@ -146,12 +147,19 @@ def n_documents(spark: SparkSession, sf: str):
     return ft.count_rows(table(spark, sf, "documents"))
 
 
-def counts(spark: SparkSession, sf: str) -> DataFrame:
+def all_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ft.term_counts(strong_docs(spark, sf), F.col("t"))
 
 
+def counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts as a written table, for queries that read them more than once."""
+    return cut_lineage(all_counts(spark, sf))
+
+
 def vocabulary(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
-    return ft.fit_vocabulary(counts(spark, sf) if of is None else of, n_documents(spark, sf))
+    """The vocabulary of counts; of written ones it is written as well, since the steps that take it read it several times."""
+    found = ft.fit_vocabulary(all_counts(spark, sf) if of is None else of, n_documents(spark, sf))
+    return found if of is None else cut_lineage(found)
 
 
 def weighted(spark: SparkSession, sf: str) -> DataFrame:

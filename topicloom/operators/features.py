@@ -1,11 +1,16 @@
 """N-gram counts, vocabulary, bag of words and TF-IDF.
 
-The long form ``(doc, term, tf)`` is the working table: it is counted map-side before its
-one shuffle, and Spark reuses that shuffle when the vocabulary is built from it as well.
+The long form ``(doc, term, tf)`` is the working table. Its rows are counted document by document, without a shuffle of terms; who
+reads it more than once writes it first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +20,8 @@ from topicloom.functions.text import ngrams
 from topicloom.operators.heavy import heavy_join
 from topicloom.session import cut_lineage
 
+_CHUNK_TERMS = 1 << 19  # terms of about so many are counted at once
+
 
 def count_rows(df: DataFrame) -> Column:
     """The row count as a scalar subquery: no cross join and no driver round trip."""
@@ -24,9 +31,62 @@ def count_rows(df: DataFrame) -> Column:
 def term_counts(
     docs: DataFrame, tokens: Column, doc_id: str = "doc_id", ngram_range: tuple[int, int] = (1, 2)
 ) -> DataFrame:
-    """``(doc_id, term, tf)``. ``explode_outer`` keeps the optimiser from copying the cleaning chain."""
-    terms = docs.select(doc_id, F.explode_outer(ngrams(tokens, ngram_range)).alias("term"))
-    return terms.where(F.col("term").isNotNull()).groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``(doc_id, term, tf)``: how often a document holds a term; rows of the same id are one document.
+
+    Ids are looked at first. If none comes twice, nothing is shuffled; else token lists are brought together by their id. A task counts
+    the terms of some documents at a time and holds no table of all pairs.
+    """
+    lists = docs.select(doc_id, tokens.alias("_tokens"))
+    if not docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        lists = lists.repartition(doc_id).sortWithinPartitions(doc_id)
+    kinds = T.StructType([docs.schema[doc_id], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return lists.select(doc_id, ngrams(F.col("_tokens"), ngram_range).alias("_terms")).mapInArrow(_counted(kinds.names), kinds)
+
+
+def _counted(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Count the terms of rows that come in order of their id; the last document waits for more rows of its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for ids, sizes, terms in _chunks(batches):
+            same = pc.if_else(pc.is_null(ids[1:]), pc.is_null(ids[:-1]), pc.fill_null(pc.equal(ids[1:], ids[:-1]), False))
+            document = np.append(0, np.cumsum(~same.to_numpy(zero_copy_only=False).astype(bool)))
+            first = ids.take(pa.array(np.flatnonzero(np.append(True, np.diff(document) > 0))))
+            coded = terms.dictionary_encode()
+            codes = coded.indices.fill_null(-1).to_numpy()
+            owner = np.repeat(document, sizes)[codes >= 0]
+            keys, tf = np.unique(owner << 32 | codes[codes >= 0], return_counts=True)
+            found = pa.Table.from_arrays([first.take(pa.array(keys >> 32)), coded.dictionary.take(pa.array(keys & 0xFFFFFFFF)), pa.array(tf, pa.int64())], names)
+            again = held is not None and held[0].equals(first[0])
+            if again:
+                ends = int(np.searchsorted(keys, 1 << 32))
+                more = pa.concat_tables([held[1], found.slice(0, ends)]).group_by(names[1]).aggregate([(names[2], "sum")])
+                one = first.take(pa.array(np.zeros(more.num_rows, np.int64)))
+                held = held[0], pa.Table.from_arrays([one, more.column(names[1]), more.column(f"{names[2]}_sum")], names)
+                found, keys = found.slice(ends), keys[ends:]
+                if document[-1] == 0:
+                    continue
+            if held is not None:
+                yield from held[1].to_batches()
+            last = int(np.searchsorted(keys, int(document[-1]) << 32))
+            yield from found.slice(0, last).to_batches()
+            held = first[-1], found.slice(last)
+        if held is not None:
+            yield from held[1].to_batches()
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """Ids, numbers of terms and terms of rows, about ``_CHUNK_TERMS`` terms at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + _CHUNK_TERMS, "right")))
+            yield batch.column(0)[at:end], sizes[at:end], batch.column(1)[at:end].flatten()
+            at = end
 
 
 def fit_vocabulary(
@@ -42,7 +102,7 @@ def fit_vocabulary(
 
 def bag_of_words(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Counts of the kept terms; the rows of a term of many documents are dealt over tasks by its document frequency."""
-    return heavy_join(counts, vocabulary.select("term", "df"), ["term"], "df", "left_semi")
+    return heavy_join(counts, vocabulary.select("term", "df"), ["term"], "df", "left_semi", hashed=True)
 
 
 def tf_idf(counts: DataFrame, vocabulary: DataFrame, n_docs: Column, doc_id: str = "doc_id") -> DataFrame:
@@ -51,7 +111,7 @@ def tf_idf(counts: DataFrame, vocabulary: DataFrame, n_docs: Column, doc_id: str
     The window covers one document's distinct terms, which its own text bounds.
     """
     idf = F.ln((n_docs + F.lit(1)) / (F.col("df") + F.lit(1))) + F.lit(1.0)
-    weighted = heavy_join(counts, vocabulary.select("term", "df"), ["term"], "df").withColumn("w", F.col("tf") * idf)
+    weighted = heavy_join(counts, vocabulary.select("term", "df"), ["term"], "df", hashed=True).withColumn("w", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
     return weighted.select(doc_id, "term", "tf", (F.col("w") / norm).alias("tfidf"))
 
@@ -87,7 +147,7 @@ def numbered_vocabulary(vocabulary: DataFrame) -> DataFrame:
 
 def sparse_rows(features: DataFrame, numbered: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, terms, bow, tfidf)``: each document's term numbers in order, with its counts and weights beside them."""
-    placed = heavy_join(features, numbered.select("term", "term_id", "df"), ["term"], "df").drop("df")
+    placed = heavy_join(features, numbered.select("term", "term_id", "df"), ["term"], "df", hashed=True).drop("df")
     row = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), F.col("tf").cast("double").alias("tf"), "tfidf")))
     rows = placed.groupBy(doc_id).agg(row.alias("_row"))
     return rows.select(doc_id, F.col("_row")["i"].alias("terms"), F.col("_row")["tf"].alias("bow"), F.col("_row")["tfidf"].alias("tfidf"))

@@ -22,7 +22,7 @@ def heavy_keys(weights: DataFrame, keys: list[str], weight: str, share: float =
 
 def heavy_join(
     left: DataFrame, right: DataFrame, keys: list[str], weight: str | None = None, how: str = "inner", share: float = HEAVY_SHARE,
-    like: DataFrame | None = None,
+    like: DataFrame | None = None, hashed: bool = False,
 ) -> DataFrame:
     """``left`` joined to ``right``, which has one row per key.
 
@@ -30,7 +30,8 @@ def heavy_join(
     document frequency); else the keys of ``like`` or ``left`` are counted, combined map-side; ``like`` is a cheaper frame with the same
     rows. The rows of a heavy key get one of its salts by
     their hash (identical rows stay together), and its row of ``right`` is repeated once per salt, so each task gets about ``share`` of the rows of any key.
-    The heavy keys are broadcast, which their number allows. ``how`` is ``inner``, ``left`` or ``left_semi``. Null keys match nothing.
+    The heavy keys are broadcast, which their number allows. ``hashed`` is for a ``right`` whose share of a task always fits its memory,
+    such as a vocabulary beside the counts it was made from: both sides then are not sorted. ``how`` is ``inner``, ``left`` or ``left_semi``. Null keys match nothing.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"how must be inner, left or left_semi, not {how!r}")
@@ -43,4 +44,4 @@ def heavy_join(
     dealt = left.join(heavy, keys, "left").withColumn(_SALT, salt).drop(_SALTS)
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1))
     repeated = right.join(heavy, keys, "left").withColumn(_SALT, every).drop(_SALTS)
-    return dealt.join(repeated, [*keys, _SALT], how).drop(_SALT)
+    return dealt.join(repeated.hint("shuffle_hash") if hashed else repeated, [*keys, _SALT], how).drop(_SALT)
