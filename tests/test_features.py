@@ -121,3 +121,14 @@ def test_counts_shuffle_documents_not_terms(spark):
     once, twice = plan([1, 2]), plan([1, 1])
     assert "Exchange" not in once and "HashAggregate" not in once + twice
     assert twice.count("Exchange hashpartitioning") == 1 and twice.index("Exchange hashpartitioning") > twice.index("MapInArrow")
+
+
+def test_vocabulary_of_tokens_is_written_once(spark, tmp_path, monkeypatch):
+    """The join reads the vocabulary several times; before, each of them counted the documents' terms again."""
+    from topicloom.checks import text_checks as tc
+
+    spark.createDataFrame([(i, "Lampe defekt Brunnen"[: 6 + 7 * (i % 2)]) for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls = []
+    monkeypatch.setattr(tc, "cut_lineage", lambda df: calls.append(df.columns) or df)
+    assert {r["doc_id"] for r in tc.tokens_in_vocab(spark, str(tmp_path)).collect()} == {1, 3}
+    assert ["term", "df", "cf"] in calls

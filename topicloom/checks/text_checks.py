@@ -283,7 +283,8 @@ def mean_tfidf_top(spark, sf):
 )
 def tokens_in_vocab(spark, sf):
     docs = strong_docs(spark, sf)
-    sequence = lx.in_vocabulary(lx.positioned(docs, tx.ngrams(F.col("t"))), vocabulary(spark, sf))
+    vocab = cut_lineage(vocabulary(spark, sf))  # the join reads it several times
+    sequence = lx.in_vocabulary(lx.positioned(docs, tx.ngrams(F.col("t"))), vocab)
     return lx.recollect(sequence).select("doc_id", F.array_join("tokens", "|").alias("terms"))
 
 

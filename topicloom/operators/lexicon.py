@@ -52,7 +52,7 @@ def in_vocabulary(tokens: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_i
     """Tokens that are vocabulary terms, repeats kept, renumbered within their document."""
     weight = next((c for c in ("cf", "df") if c in vocabulary.columns), None)  # else the tokens are counted
     terms = vocabulary.select(F.col("term").alias("token"), *[F.col(c).cast("long").alias("_weight") for c in [weight] if c])
-    kept = heavy_join(tokens, terms, ["token"], "_weight" if weight else None, "left_semi")
+    kept = heavy_join(tokens, terms, ["token"], "_weight" if weight else None, "left_semi", hashed=True)
     order = Window.partitionBy(doc_id).orderBy("pos")
     return kept.select(doc_id, (F.row_number().over(order) - 1).alias("pos"), "token")
 
