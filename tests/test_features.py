@@ -132,3 +132,23 @@ def test_vocabulary_of_tokens_is_written_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tc, "cut_lineage", lambda df: calls.append(df.columns) or df)
     assert {r["doc_id"] for r in tc.tokens_in_vocab(spark, str(tmp_path)).collect()} == {1, 3}
     assert ["term", "df", "cf"] in calls
+
+
+@pytest.mark.parametrize("chunk", [1, 1 << 19])
+def test_class_counts_are_added_up_in_pieces(spark, monkeypatch, chunk):
+    """Before, a task held one map of all its classes' terms."""
+    from collections import Counter
+
+    from topicloom.operators import ctfidf as ct
+
+    monkeypatch.setattr(ft, "_CHUNK_TERMS", chunk)
+    rows = [(i % 4, (None, "a", "b")[i % 3], ["x", None, f"w{i % 5}"] if i % 7 else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id int, c string, t array<string>")
+    by_class = ct.class_counts(df, "c", F.col("t"))
+    plan = by_class._jdf.queryExecution().executedPlan().toString()  # before it runs
+    want = Counter((c, t) for _, c, ts in rows for t in ts or [] if t is not None)
+    assert {(r["c"], r["term"]): r["n"] for r in by_class.collect()} == want
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning")
+    want = Counter((i, c, t) for i, c, ts in rows for t in ts or [] if t is not None)
+    got = ct.class_counts(df, "c", F.col("t"), per_doc=True).collect()
+    assert {(r["doc_id"], r["c"], r["term"]): r["n"] for r in got} == want and len(got) == len(want)

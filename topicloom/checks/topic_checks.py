@@ -60,7 +60,7 @@ def language_weights(spark: SparkSession, sf: str) -> DataFrame:
 def language_words(spark: SparkSession, sf: str, n: int = 15) -> DataFrame:
     """``(topic_id, word, weight)``, the shape of a topic model's word table."""
     words = language_weights(spark, sf).select("topic_id", F.col("term").alias("word"), "weight")
-    return rk.top_words(words, n).drop("rank")
+    return cut_lineage(rk.top_words(words, n).drop("rank"))  # a few rows, which labels and prompts read several times
 
 
 WORDS_SQL = f"{q.LANG_WEIGHTS}, words AS (SELECT topic_id, term AS word, weight, rank FROM cranked WHERE rank <= 15)"
@@ -363,7 +363,7 @@ def representative_docs_by_class(spark, sf):
 
 
 def nearest(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    per_doc = class_counts(by_language(spark, sf), per_doc=True)
+    per_doc = cut_lineage(class_counts(by_language(spark, sf), per_doc=True))
     per_class = per_doc.groupBy("topic_id", "term").agg(F.sum("n").alias("n"))
     weights = cut_lineage(ct.c_tf_idf(per_class, "topic_id", 1))  # read several times
     return ct.nearest_documents(per_doc, weights, "topic_id", n)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import ngrams
+from topicloom.operators.features import count_terms, count_terms_of_classes
 from topicloom.operators.heavy import heavy_join
 from topicloom.operators.ranking import top_n
 
@@ -24,10 +25,10 @@ def topic_terms(text: Column, stopwords: Iterable[str] = (), ngram_range: tuple[
 def class_counts(
     docs: DataFrame, cls: str, terms: Column, doc_id: str = "doc_id", per_doc: bool = False
 ) -> DataFrame:
-    """Term counts per class (or per document and class), combined map-side before the shuffle."""
-    keys = [doc_id, cls] if per_doc else [cls]
-    exploded = docs.select(*keys, F.explode_outer(terms).alias("term")).where("term is not null")
-    return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    """Term counts per class (or per document and class), added up in pieces of text before the shuffle; no task holds a table of all its terms."""
+    if per_doc:
+        return count_terms(docs, [doc_id, cls], terms, lambda t: t, "n")
+    return count_terms_of_classes(docs, cls, terms)
 
 
 def c_tf_idf(counts: DataFrame, cls: str, min_classes: int = 2) -> DataFrame:
@@ -75,7 +76,7 @@ def nearest_documents(
 ) -> DataFrame:
     """The ``n`` documents of each class whose own weighted terms are closest to the class (cosine)."""
     # A class's count of a term bounds the documents that hold it.
-    cell = heavy_join(doc_counts, weights.select(cls, "term", "idf", "weight", F.col("n").alias("_class_n")), [cls, "term"], "_class_n")
+    cell = heavy_join(doc_counts, weights.select(cls, "term", "idf", "weight", F.col("n").alias("_class_n")), [cls, "term"], "_class_n", hashed=True)
     own = F.col("n") * F.col("idf")  # the document's length scales out of the cosine
     sims = cell.groupBy(cls, doc_id).agg(
         F.sum(own * F.col("weight")).alias("_dot"), F.sqrt(F.sum(own * own)).alias("_len")

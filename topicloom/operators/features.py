@@ -31,61 +31,90 @@ def count_rows(df: DataFrame) -> Column:
 def term_counts(
     docs: DataFrame, tokens: Column, doc_id: str = "doc_id", ngram_range: tuple[int, int] = (1, 2)
 ) -> DataFrame:
-    """``(doc_id, term, tf)``: how often a document holds a term; rows of the same id are one document.
+    """``(doc_id, term, tf)``: how often a document holds a term; rows of the same id are one document."""
+    return count_terms(docs, [doc_id], tokens, lambda t: ngrams(t, ngram_range))
 
-    Ids are looked at first. If none comes twice, nothing is shuffled; else token lists are brought together by their id. A task counts
+
+def count_terms(docs: DataFrame, keys: list[str], tokens: Column, terms: Callable[[Column], Column], n: str = "tf") -> DataFrame:
+    """``(*keys, term, n)``: how often rows of the same keys hold a term, where ``terms`` makes terms of token lists.
+
+    Keys are looked at first. If none come twice, nothing is shuffled; else token lists are brought together by their keys. A task counts
     the terms of some documents at a time and holds no table of all pairs.
     """
-    lists = docs.select(doc_id, tokens.alias("_tokens"))
-    if not docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        lists = lists.repartition(doc_id).sortWithinPartitions(doc_id)
-    kinds = T.StructType([docs.schema[doc_id], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
-    return lists.select(doc_id, ngrams(F.col("_tokens"), ngram_range).alias("_terms")).mapInArrow(_counted(kinds.names), kinds)
+    lists = docs.select(*keys, tokens.alias("_tokens"))
+    if not docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        lists = lists.repartition(*keys).sortWithinPartitions(*keys)
+    kinds = T.StructType([*[docs.schema[k] for k in keys], T.StructField("term", T.StringType()), T.StructField(n, T.LongType())])
+    return lists.select(*keys, terms(F.col("_tokens")).alias("_terms")).mapInArrow(_counted(kinds.names), kinds)
 
 
 def _counted(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Count the terms of rows that come in order of their id; the last document waits for more rows of its id."""
+    """Count the terms of rows that come in order of their keys; the last document waits for more rows of its keys."""
+    term, n = names[-2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for ids, sizes, terms in _chunks(batches):
-            same = pc.if_else(pc.is_null(ids[1:]), pc.is_null(ids[:-1]), pc.fill_null(pc.equal(ids[1:], ids[:-1]), False))
-            document = np.append(0, np.cumsum(~same.to_numpy(zero_copy_only=False).astype(bool)))
-            first = ids.take(pa.array(np.flatnonzero(np.append(True, np.diff(document) > 0))))
+        for keys, sizes, terms in _chunks(batches):
+            same = np.ones(len(sizes) - 1, bool)
+            for k in keys:
+                equal = pc.if_else(pc.is_null(k[1:]), pc.is_null(k[:-1]), pc.fill_null(pc.equal(k[1:], k[:-1]), False))
+                same &= equal.to_numpy(zero_copy_only=False).astype(bool)
+            document = np.append(0, np.cumsum(~same))
+            starts = pa.array(np.flatnonzero(np.append(True, ~same)))
+            first = [k.take(starts) for k in keys]
             coded = terms.dictionary_encode()
             codes = coded.indices.fill_null(-1).to_numpy()
-            owner = np.repeat(document, sizes)[codes >= 0]
-            keys, tf = np.unique(owner << 32 | codes[codes >= 0], return_counts=True)
-            found = pa.Table.from_arrays([first.take(pa.array(keys >> 32)), coded.dictionary.take(pa.array(keys & 0xFFFFFFFF)), pa.array(tf, pa.int64())], names)
-            again = held is not None and held[0].equals(first[0])
-            if again:
-                ends = int(np.searchsorted(keys, 1 << 32))
-                more = pa.concat_tables([held[1], found.slice(0, ends)]).group_by(names[1]).aggregate([(names[2], "sum")])
-                one = first.take(pa.array(np.zeros(more.num_rows, np.int64)))
-                held = held[0], pa.Table.from_arrays([one, more.column(names[1]), more.column(f"{names[2]}_sum")], names)
-                found, keys = found.slice(ends), keys[ends:]
+            pairs, times = np.unique(np.repeat(document, sizes)[codes >= 0] << 32 | codes[codes >= 0], return_counts=True)
+            owner = pa.array(pairs >> 32)
+            found = pa.Table.from_arrays([*[f.take(owner) for f in first], coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF)), pa.array(times, pa.int64())], names)
+            mine = [f[0] for f in first]
+            if held is not None and all(a.equals(b) for a, b in zip(held[0], mine, strict=True)):
+                ends = int(np.searchsorted(pairs, 1 << 32))
+                more = pa.concat_tables([held[1], found.slice(0, ends)]).group_by(term).aggregate([(n, "sum")])
+                zeros = pa.array(np.zeros(more.num_rows, np.int64))
+                held = mine, pa.Table.from_arrays([*[f.take(zeros) for f in first], more.column(term), more.column(f"{n}_sum")], names)
+                found, pairs = found.slice(ends), pairs[ends:]
                 if document[-1] == 0:
                     continue
             if held is not None:
                 yield from held[1].to_batches()
-            last = int(np.searchsorted(keys, int(document[-1]) << 32))
+            last = int(np.searchsorted(pairs, int(document[-1]) << 32))
             yield from found.slice(0, last).to_batches()
-            held = first[-1], found.slice(last)
+            held = [f[-1] for f in first], found.slice(last)
         if held is not None:
             yield from held[1].to_batches()
 
     return run
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
-    """Ids, numbers of terms and terms of rows, about ``_CHUNK_TERMS`` terms at a time."""
+def count_terms_of_classes(docs: DataFrame, cls: str, terms: Column, n: str = "n") -> DataFrame:
+    """``(cls, term, n)`` of classes of many documents: added up in pieces of text first, then by term, where a term's rows of all classes stay together."""
+    kinds = T.StructType([docs.schema[cls], T.StructField("term", T.StringType()), T.StructField(n, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (classes,), sizes, found in _chunks(batches, 4 * _CHUNK_TERMS):
+            named, coded = classes.dictionary_encode(), found.dictionary_encode()
+            values = pa.concat_arrays([named.dictionary, pa.nulls(1, named.dictionary.type)])
+            owner = np.repeat(named.indices.fill_null(len(named.dictionary)).to_numpy().astype(np.int64), sizes)
+            codes = coded.indices.fill_null(-1).to_numpy()
+            pairs, times = np.unique(owner[codes >= 0] << 32 | codes[codes >= 0], return_counts=True)
+            columns = [values.take(pa.array(pairs >> 32)), coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF)), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, kinds.names)
+
+    return docs.select(cls, terms.alias("_terms")).mapInArrow(run, kinds).repartition("term").groupBy(cls, "term").agg(F.sum(n).alias(n))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list[pa.Array], np.ndarray, pa.Array]]:
+    """Keys, numbers of terms and terms (the last column) of rows, about ``most`` terms at a time."""
+    most = most or _CHUNK_TERMS
     for batch in batches:
-        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        *keys, lists = batch.columns
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(ends, before + _CHUNK_TERMS, "right")))
-            yield batch.column(0)[at:end], sizes[at:end], batch.column(1)[at:end].flatten()
+            end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield [k[at:end] for k in keys], sizes[at:end], lists[at:end].flatten()
             at = end
 
 
