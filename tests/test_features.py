@@ -152,3 +152,12 @@ def test_class_counts_are_added_up_in_pieces(spark, monkeypatch, chunk):
     want = Counter((i, c, t) for i, c, ts in rows for t in ts or [] if t is not None)
     got = ct.class_counts(df, "c", F.col("t"), per_doc=True).collect()
     assert {(r["doc_id"], r["c"], r["term"]): r["n"] for r in got} == want and len(got) == len(want)
+
+
+def test_class_weights_do_not_gather_a_class_in_one_task(spark):
+    """Before, the totals met the counts in a shuffle by class."""
+    from topicloom.operators import ctfidf as ct
+
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1)], "c int, term string, n long")
+    plan = ct.c_tf_idf(counts, "c", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
