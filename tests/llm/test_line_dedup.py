@@ -100,3 +100,19 @@ def test_query_digest(spark, tmp_path, make_docs, odd):
     make_docs(odd).write.parquet(f"{tmp_path}/documents.parquet")
     want = sorted((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, d in brute(odd, 10) if i)
     assert sorted(tuple(r) for r in op8(spark, str(tmp_path)).collect() if r[0]) == want
+
+
+def test_a_worker_holds_the_texts_of_few_documents():
+    import pyarrow as pa
+
+    texts = ["one\n\ntwo", "", "\u00e4"] * 700
+    n = len(texts)
+    batch = pa.record_batch({"doc": list(range(n)), "same": [7] * n, "text": texts})
+    made = list(ld._split(1)(iter([batch])))
+    assert max(len(set(b.column("doc").to_pylist())) for b in made) <= 512
+    rows = [(r["doc"], r["pos"]) for b in made for r in b.to_pylist()]
+    assert rows == [(i, at) for i, t in enumerate(texts) for at, line in enumerate(t.split("\n")) if line]
+    met = pa.record_batch({"doc_id": list(range(n)), "text": texts, "_line_keep": pa.array([None] * n, pa.binary())})
+    cut = list(ld._shorten(["doc_id", "text"])(iter([met])))
+    assert max(b.num_rows for b in cut) <= 512
+    assert [t for b in cut for t in b.column("text").to_pylist()] == texts

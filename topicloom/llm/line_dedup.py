@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import refuse, require, runs, text_or_empty, with_fields
+from topicloom.llm.common import refuse, require, runs, sliced, text_or_empty, with_fields
 from topicloom.session import cut_lineage
 
 # ASCII white space.
@@ -47,12 +47,12 @@ def line_key(line: bytes) -> bytes:
     return line.strip(BLANK).lower()
 
 
-def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per line that may be dropped: two independent hashes of its key, the document and the position."""
+def _split(min_chars: int):
+    """Turn documents into the rows of their lines, few documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in sliced(batches):
             digests, counts, positions = [], [], []
             for text in batch.column("text").to_pylist():
                 before = len(digests)
@@ -67,7 +67,12 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
             arrays = [halves[:, 0].copy(), halves[:, 1].copy(), *ids, np.array(positions, np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], _LINE_NAMES)
 
-    return docs.mapInArrow(run, _LINES)
+    return run
+
+
+def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
+    """One row per line that may be dropped: two independent hashes of its key, the document and the position."""
+    return docs.mapInArrow(_split(min_chars), _LINES)
 
 
 def _decide(min_documents: int, keep_first: bool = False):
@@ -227,10 +232,14 @@ def drop_repeated_lines(docs: DataFrame, min_documents: int = 10, min_chars: int
     bitmaps = bitmaps.select(F.col("doc").alias(doc), F.col("same").alias(same), F.col("keep").alias("_line_keep"))
     met = keyed.join(bitmaps.hint("shuffle_hash"), [doc, same], "left").select(*docs.columns, "_line_keep")
     schema = with_fields(docs, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()))
-    names = docs.columns
+    return met.mapInArrow(_shorten(docs.columns), schema)
+
+
+def _shorten(names: list[str]):
+    """Cut texts by their bitmaps, few documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, keeps = batch.column("text").to_pylist(), batch.column("_line_keep").to_pylist()
             n_lines, n_dropped = [], []
             for i, (text, keep) in enumerate(zip(texts, keeps, strict=True)):
@@ -246,4 +255,4 @@ def drop_repeated_lines(docs: DataFrame, min_documents: int = 10, min_chars: int
             columns |= {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return met.mapInArrow(run, schema)
+    return run
