@@ -72,3 +72,48 @@ def test_small_and_empty_inputs(spark):
         assert graph.count() == n * min(3, max(n - 1, 0)) and members.count() == n
     with pytest.raises(ValueError):
         nb.neighbour_graph(frame(spark, [], []), 10, degree=5)
+
+
+def test_a_row_travels_to_few_cells_however_many_rows_there_are(spark):
+    rng = np.random.default_rng(9)
+    copies = {}
+    for n in (800, 3200):
+        centres = rng.standard_normal((40, 16)) * 2
+        v = centres[rng.integers(0, 40, n)] + rng.standard_normal((n, 16)) * 0.5
+        points = nb.directions(frame(spark, range(n), v)).cache()
+        cells = nb.fit_cells(points, 10, 2, 16, 15, 0.001, 7)
+        assert len(cells.centres) == min(32, n // 32) and cells.stored.sum() == n and cells.probes < len(cells.centres)
+        lists = nb._search(points, cells, 5).collect()
+        copies[n] = len(lists) / n
+        assert all(len(r["near"]) <= 5 for r in lists)
+        got = {}
+        for r in lists:
+            got.setdefault(r["id"], []).extend((e["far"], e["nb"]) for e in r["near"])
+        want = brute(np.arange(n), v, 5)
+        hits = sum(len({j for _, j in sorted(got[i])[:5]} & {j for _, j in want[i]}) for i in want)
+        assert hits >= 0.95 * 5 * n
+    assert max(copies.values()) <= 32
+
+
+def test_chunks_and_parts_of_a_cell_give_what_the_whole_cell_gives(spark):
+    from dataclasses import replace
+
+    rng = np.random.default_rng(10)
+    v = rng.standard_normal((300, 4))
+    points = nb.directions(frame(spark, range(300), v)).cache()
+    cells = nb.fit_cells(points, 10, 2, 32, 15, 0.001, 7)
+    cut = replace(cells, probes=len(cells.centres), chunks=np.full(len(cells.centres), 3), parts=np.full(len(cells.centres), 2))
+    got = {}
+    for r in nb._search(points, cut, 4).collect():
+        got.setdefault(r["id"], []).extend((e["far"], e["nb"]) for e in r["near"])
+    want = brute(np.arange(300), v, 4)
+    assert {i: [j for _, j in sorted(x)[:4]] for i, x in got.items()} == {i: [j for _, j in x] for i, x in want.items()}
+
+
+def test_an_id_with_two_vectors_is_one_neighbour(spark):
+    v = np.array([[1, 0.0], [1, 0.1], [1, 0.2], [1, 0.3], [-1, 0.5]])
+    graph, _ = nb.neighbour_graph(frame(spark, [1, 2, 2, 3, 4], v), 2, degree=4, block=8)
+    got = {}
+    for r in graph.orderBy("rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got == {1: [2, 3], 2: [3, 1], 3: [2, 1], 4: [3, 2]}
