@@ -35,6 +35,26 @@ def test_pieces_equal_the_library():
         assert own.decode(ids) == library.decode(ids), repr(t)
 
 
+def test_rows_are_decoded_together(monkeypatch):
+    """Before, each id of each row went through Python."""
+    own, library = pc.Pieces(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["", *odd_texts(400, 5), "", "x" * 3000]
+    coded = pc._id_lists(own, texts)
+    with monkeypatch.context() as m:
+        m.setattr(pc.Pieces, "decode", lambda *_: pytest.fail("decoded one by one"))
+        assert own.decode_lists(coded).to_pylist() == [library.decode(library.encode(t)) for t in texts]
+        assert own.decode_lists(coded.slice(7, 20)).to_pylist() == [library.decode(library.encode(t)) for t in texts[7:27]]
+    rng, e = random.Random(6), [own.byte_ids[b] for b in "é①".encode()]
+    lists = [[rng.randrange(len(own.pieces)) for _ in range(rng.randint(0, 6))] for _ in range(500)]
+    lists += [None, e[:1], e[1:], [], e, [0], [1], [2], e[:3], e[3:], None]
+    for size in (1, 3, 1 << 20):
+        monkeypatch.setattr(pc, "AT_ONCE", size)
+        assert own.decode_lists(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == [own.decode(x or []) for x in lists]
+    assert own.decode_lists(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+    with pytest.raises(IndexError):
+        own.decode_lists(pa.array([[len(own.pieces)]], pa.list_(pa.int32())))
+
+
 def test_piece_columns(make_docs, odd):
     docs = make_docs(odd + [(8, "x" * 20000), (9, None)])
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)

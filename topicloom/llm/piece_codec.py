@@ -7,7 +7,8 @@ the matches of an Aho-Corasick automaton over all pieces and a test of pairs; th
 
 No piece holds a word mark (U+2581) after another character, and none a character outside the pieces' alphabet: so the
 text falls into words that encode on their own, and the table is filled once per distinct word and worker, as far as a
-bounded memory of words (two generations of ``CACHE``) reaches.
+bounded memory of words (two generations of ``CACHE``) reaches. Ids are decoded many rows at a time: their pieces are taken from an Arrow
+table, where they lie one behind the other, so rows only need their borders.
 
 The model file's path is a parameter, and each worker reads the file. Only models with the identity normaliser and a
 leading word mark are taken (checked when the file is read).
@@ -18,11 +19,13 @@ mark in the text counts as a space, as in the library. Repeated rows and null id
 
 from __future__ import annotations
 
+import struct
 from functools import cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pac
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,7 @@ from topicloom.llm.common import Remembered, add_columns, require, text_or_empty
 
 MARK = "▁"  # Fixed value: stands for a space inside pieces.
 CACHE = 200_000
+AT_ONCE = 1 << 20  # ids of about so many are decoded at once
 _FOREIGN = -1
 
 
@@ -62,19 +66,25 @@ class Pieces:
             self.bytes[i] = bytes([value])
         unknown = next(i for i in ids if model.is_unknown(i))
         self.bytes[unknown] = model.decode([unknown]).encode()
+        # A second time as they are at the start of a text, without their word mark.
+        starts = [b[1:] if b[:1] == b" " and p.startswith(MARK) else b for p, b in zip(self.pieces, self.bytes)]
+        self.taken = pa.array([*self.bytes, *starts], pa.binary())
         self.kind = np.dtype("<u2" if len(self.pieces) <= 1 << 16 else "<u4")
         self.marked, self.plain = _Words(self, MARK), _Words(self, "")
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by its definition: merge the best pair, leftmost first, as long as there is one."""
-        parts = list(text)
-        while len(parts) > 1:
-            scores = [self.scores.get(a + b, -np.inf) for a, b in zip(parts, parts[1:])]
-            best = max(scores)
-            if best == -np.inf:
-                break
+        parts, score, none = list(text), self.scores.get, -np.inf
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) != none:
             at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            # Only the pairs that hold the new part have changed.
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
     def fit(self, left: int, right: int) -> bool:
@@ -140,6 +150,33 @@ class Pieces:
         raw = b"".join([table[i] for i in ids])
         return (raw[1:] if raw[:1] == b" " and len(ids) and self.pieces[ids[0]].startswith(MARK) else raw).decode("utf-8", "replace")
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids, the same as :meth:`decode` gives one by one; a null list gives the empty text."""
+        sizes = pac.fill_null(pac.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends, flat, out, at = np.append(0, np.cumsum(sizes, dtype=np.int64)), lists.flatten(), [], 0
+        while at < len(lists):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + AT_ONCE, "right")) - 1)
+            out.append(self._joined(flat[ends[at] : ends[end]], ends[at : end + 1] - ends[at]))
+            at = end
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    def _joined(self, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+        """The texts of ids that end at ``ends``."""
+        size, bounds = len(self.pieces), pac.min_max(ids).as_py()
+        if ids.null_count or len(ids) and not 0 <= bounds["min"] <= bounds["max"] < size:
+            return pa.array([self.decode(ids[a:b].to_pylist()) for a, b in zip(ends, ends[1:])], pa.string())
+        if not len(ids):
+            return pa.array([""] * (len(ends) - 1), pa.string())
+        places = ids.to_numpy().astype(np.int64)
+        places[ends[:-1][ends[1:] > ends[:-1]]] += size
+        _, borders, data = self.taken.take(pa.array(places)).buffers()
+        borders = np.frombuffer(borders, np.int32, len(places) + 1)[ends]
+        texts = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(borders), data or pa.py_buffer(b"")])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:  # broken byte rows
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
 
 def _runs(words: list[str]) -> list[str]:
     """Words between spaces, where an empty one (two spaces in a row) becomes a mark before the word that follows."""
@@ -163,7 +200,8 @@ class _Words(Remembered):
     def __missing__(self, word: str) -> bytes:
         made = self.old.get(word)
         if made is None:
-            made = np.array(self.pieces_.word_ids(self.mark + word), self.pieces_.kind).tobytes()
+            ids = self.pieces_.word_ids(self.mark + word)
+            made = struct.pack(f"<{len(ids)}{self.pieces_.kind.char}", *ids)
         self[word] = made
         return made
 
@@ -194,8 +232,8 @@ def encode(docs: DataFrame, model_path: str, verify: bool = False) -> DataFrame:
         model, texts = pieces(model_path), column.to_pylist()
         ids = _id_lists(model, texts)
         if verify:
-            for text, row in zip(texts, ids, strict=True):
-                if model.decode(row.values.to_pylist()) != text.replace(MARK, " "):
+            for text, back in zip(texts, model.decode_lists(ids).to_pylist(), strict=True):
+                if back != text.replace(MARK, " "):
                     raise ValueError(f"ids do not decode to their text: {text[:80]!r}")
         return [ids]
 
@@ -209,7 +247,7 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
     def compute(texts: pa.Array) -> list[pa.Array]:
         model = pieces(model_path)
         ids = _id_lists(model, texts.to_pylist())
-        return [ids, pa.array([model.decode(row.values.to_pylist()) for row in ids], pa.string())]
+        return [ids, model.decode_lists(ids)]
 
     return add_columns(full, "text", [_IDS, T.StructField("decoded", T.StringType())], compute)
 
@@ -218,8 +256,7 @@ def decode(coded: DataFrame, model_path: str, column: str = "decoded") -> DataFr
     """``coded`` with the text of its ``ids`` added; null ids give the empty text."""
 
     def compute(ids: pa.Array) -> list[pa.Array]:
-        model = pieces(model_path)
-        return [pa.array([model.decode(i or []) for i in ids.to_pylist()], pa.string())]
+        return [pieces(model_path).decode_lists(ids)]
 
     return add_columns(require(coded, "ids"), "ids", [T.StructField(column, T.StringType())], compute)
 
