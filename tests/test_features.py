@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -154,6 +155,39 @@ def test_class_counts_are_added_up_in_pieces(spark, monkeypatch, chunk):
     assert {(r["doc_id"], r["c"], r["term"]): r["n"] for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("chunk", [1, 1 << 19])
+def test_pairs_of_classes_are_counted_by_numbers(spark, monkeypatch, chunk):
+    """Before, every pair of a text was made as a text of its own."""
+    from topicloom.functions.text import ngrams
+    from topicloom.operators import ctfidf as ct
+
+    monkeypatch.setattr(ft, "_CHUNK_TERMS", chunk)
+    rows = [((None, "a", "b")[i % 3], [f"w{j * i % 5}" for j in range(i % 6)] if i % 7 else None) for i in range(60)] + [("c", [""]), ("c", ["", "w1", ""])]
+    df = spark.createDataFrame(rows, "c string, t array<string>")
+    got = ct.token_counts(df, "c", F.col("t"))
+    assert "zip_with" not in got._jdf.queryExecution().executedPlan().toString()
+    want = ct.class_counts(df, "c", ngrams(F.col("t"))).collect()
+    assert sorted(got.collect(), key=str) == sorted(want, key=str) and len(want) > 40
+    assert ct.token_counts(df.limit(0), "c", F.col("t")).collect() == []
+    with pytest.raises(Exception, match="holds a null"):
+        ct.token_counts(spark.createDataFrame([("a", ["x", None])], df.schema), "c", F.col("t")).collect()
+
+
+def test_class_weights_look_at_the_terms_twice(spark):
+    """Before, three times: the mean of the totals was counted anew."""
+    from topicloom.operators import ctfidf as ct
+
+    rows = [(None, "a", 3), (1, "a", 2), (1, "b", 1), (2, "a", 1), (2, "c", 5)]
+    counts = spark.createDataFrame(rows, "c int, term string, n long")
+    weights = ct.c_tf_idf(counts, "c", 1)
+    assert len(re.findall(r"Window \[.*\], \[term#", weights._jdf.queryExecution().executedPlan().toString())) == 2
+    got = {(r.c, r.term): (r.n, round(r.idf, 9), round(r.weight, 9)) for r in weights.collect()}
+    mean = (3 + 3 + 6) // 3
+    idf = lambda f: round(math.log(mean / f + 1), 9)
+    assert got == {(1, "a"): (2, idf(6), round(2 / 3 * math.log(mean / 6 + 1), 9)), (1, "b"): (1, idf(1), round(1 / 3 * math.log(mean + 1), 9)),
+                   (2, "a"): (1, idf(6), round(1 / 6 * math.log(mean / 6 + 1), 9)), (2, "c"): (5, idf(5), round(5 / 6 * math.log(mean / 5 + 1), 9))}
+
+
 def test_class_weights_do_not_gather_a_class_in_one_task(spark):
     """Before, the totals met the counts in a shuffle by class."""
     from topicloom.operators import ctfidf as ct
