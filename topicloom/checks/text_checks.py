@@ -12,6 +12,7 @@ from topicloom.functions.wordlists import STRONG_EXTRA_STOPWORDS, strong_stopwor
 from topicloom.operators import features as ft
 from topicloom.operators import lexicon as lx
 from topicloom.operators import profile as pf
+from topicloom.operators import termranges as tr
 from topicloom.plans.pipeline import vector_shape
 from topicloom.plans.reports import term_frequencies
 from topicloom.session import cut_lineage
@@ -167,6 +168,11 @@ def weighted(spark: SparkSession, sf: str) -> DataFrame:
     return ft.tf_idf(terms, vocabulary(spark, sf, terms), n_documents(spark, sf))
 
 
+def learned(spark: SparkSession, sf: str) -> tr.Vocabulary:
+    """The documents as chunks with their vocabulary, for queries that need no pair of document and term outside its chunk."""
+    return tr.vocabulary(tr.pack(strong_docs(spark, sf), ["doc_id"], F.col("t")), table(spark, sf, "documents").count())
+
+
 @check("fit_vocabulary", f"WITH {q.TERMS} SELECT term, df, cf FROM vocab")
 def fit_vocabulary(spark, sf):
     return vocabulary(spark, sf)
@@ -180,7 +186,7 @@ def bag_of_words(spark, sf):
 
 @check("tf_idf", f"WITH {q.TERMS} SELECT doc_id, term, tf, round(tfidf, 6) AS tfidf FROM tfidf")
 def tf_idf(spark, sf):
-    return weighted(spark, sf).withColumn("tfidf", F.round("tfidf", 6))
+    return learned(spark, sf).features().withColumn("tfidf", F.round("tfidf", 6))
 
 
 @check(

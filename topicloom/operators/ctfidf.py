@@ -11,6 +11,7 @@ from topicloom.functions.text import ngrams
 from topicloom.operators.features import count_terms, count_terms_of_classes
 from topicloom.operators.heavy import heavy_join
 from topicloom.operators.ranking import top_n
+from topicloom.operators.termranges import ClassTerms, class_terms, pack
 
 
 def topic_terms(text: Column, stopwords: Iterable[str] = (), ngram_range: tuple[int, int] = (1, 2)) -> Column:
@@ -78,6 +79,11 @@ def term_weights(kept: DataFrame, cls: str) -> DataFrame:
     ).withColumn("weight", F.col("share") * F.col("idf"))
 
 
+def class_weights(docs: DataFrame, cls: str, tokens: Column, min_classes: int = 2, pairs: bool = True) -> DataFrame:
+    """The weights of :func:`c_tf_idf` of tokens and, with ``pairs``, of two in a row; counted by chunks and ranges of terms, and written."""
+    return term_weights(class_terms(pack(docs, [cls], tokens, pairs, whole=False), cls, min_classes).rows(), cls)
+
+
 def class_top_words(weights: DataFrame, cls: str, n: int = 10) -> DataFrame:
     return top_n(weights, cls, [F.desc("weight"), F.col("term")], n)
 
@@ -110,3 +116,18 @@ def nearest_documents(
         "similarity", F.when(F.col("_len") * F.col("_class_len") > 0, F.col("_dot") / (F.col("_len") * F.col("_class_len"))).otherwise(F.lit(0.0))
     )
     return top_n(scored, cls, [F.desc(F.round("similarity", 9)), F.col(doc_id)], n).select(cls, doc_id, "similarity", "rank")
+
+
+def nearest_in_classes(counted: ClassTerms, n: int = 3, doc_id: str = "doc_id") -> DataFrame:
+    """:func:`nearest_documents` of documents in chunks, whose ``counted`` terms were asked for with answers: terms meet their weights in the chunk.
+
+    A class's total scales out of the cosine like a document's length.
+    """
+    cls, terms = counted.cls, counted.rows()
+    mean = terms.groupBy(cls).agg(F.sum("n").alias("n")).agg(F.floor(F.avg("n"))).first()[0] or 0
+    own = F.col("n") * F.ln(F.lit(float(mean)) / F.col("f") + F.lit(1.0))
+    sizes = terms.groupBy(cls).agg(F.sqrt(F.sum(own * own)).alias("_class_len"))  # a row per class
+    scored = counted.cosines(float(mean)).join(F.broadcast(sizes), cls).withColumn(
+        "similarity", F.when(F.col("len") * F.col("_class_len") > 0, F.col("dot") / (F.col("len") * F.col("_class_len"))).otherwise(F.lit(0.0))
+    )
+    return top_n(scored, cls, [F.desc(F.round("similarity", 9)), F.col(doc_id)], n).select(cls, doc_id, "similarity", "rank")
