@@ -279,7 +279,7 @@ def nnz_per_doc(spark, sf):
     ORDER BY sum(tfidf) DESC, term LIMIT 20""",
 )
 def mean_tfidf_top(spark, sf):
-    return pf.mean_weight(weighted(spark, sf), n_documents(spark, sf), 20).withColumn("mean_tfidf", F.round("mean_tfidf", 6))
+    return learned(spark, sf).mean_weight(20).withColumn("mean_tfidf", F.round("mean_tfidf", 6))
 
 
 @check(
