@@ -163,11 +163,6 @@ def vocabulary(spark: SparkSession, sf: str, of: DataFrame | None = None) -> Dat
     return found if of is None else cut_lineage(found)
 
 
-def weighted(spark: SparkSession, sf: str) -> DataFrame:
-    terms = counts(spark, sf)
-    return ft.tf_idf(terms, vocabulary(spark, sf, terms), n_documents(spark, sf))
-
-
 def learned(spark: SparkSession, sf: str) -> tr.Vocabulary:
     """The documents as chunks with their vocabulary, for queries that need no pair of document and term outside its chunk."""
     return tr.vocabulary(tr.pack(strong_docs(spark, sf), ["doc_id"], F.col("t")), table(spark, sf, "documents").count())
@@ -269,7 +264,7 @@ def terms_per_doc(spark, sf):
     round(count(*) FILTER (tfidf <> 0)::DOUBLE / count(DISTINCT doc_id), 6) AS tfidf_nnz FROM tfidf""",
 )
 def nnz_per_doc(spark, sf):
-    found = pf.nonzeros_per_document(weighted(spark, sf))
+    found = pf.nonzeros_per_document(learned(spark, sf).features(term=False))
     return found.select(F.round("bow_nnz", 6).alias("bow_nnz"), F.round("tfidf_nnz", 6).alias("tfidf_nnz"))
 
 
