@@ -283,10 +283,7 @@ def mean_tfidf_top(spark, sf):
     SELECT doc_id, string_agg(term, '|' ORDER BY pos) AS terms FROM pos SEMI JOIN vocab USING (term) GROUP BY doc_id""",
 )
 def tokens_in_vocab(spark, sf):
-    docs = strong_docs(spark, sf)
-    vocab = cut_lineage(vocabulary(spark, sf))  # the join reads it several times
-    sequence = lx.in_vocabulary(lx.positioned(docs, tx.ngrams(F.col("t"))), vocab)
-    return lx.recollect(sequence).select("doc_id", F.array_join("tokens", "|").alias("terms"))
+    return learned(spark, sf).sequences().select("doc_id", F.array_join("tokens", "|").alias("terms"))
 
 
 @check("term_doc_collection_freq", f"WITH {q.TERMS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM bow GROUP BY term")
