@@ -16,6 +16,7 @@ from topicloom.functions.wordlists import CLUSTER_EXTRA_STOPWORDS
 from topicloom.operators import ctfidf as ct
 from topicloom.operators import ranking as rk
 from topicloom.operators import similarity as sm
+from topicloom.operators import termranges as tr
 from topicloom.operators import topics as tp
 from topicloom.operators.components import connected_components
 from topicloom.operators.lda import empty_topics
@@ -54,12 +55,19 @@ def class_counts(docs: DataFrame, cls: str = "topic_id", per_doc: bool = False)
 
 
 def language_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.c_tf_idf(class_counts(by_language(spark, sf)), "topic_id", 1)
+    return ct.class_weights(by_language(spark, sf), "topic_id", class_terms(F.col("text")), 1)
 
 
-def language_words(spark: SparkSession, sf: str, n: int = 15) -> DataFrame:
-    """``(topic_id, word, weight)``, the shape of a topic model's word table."""
-    words = language_weights(spark, sf).select("topic_id", F.col("term").alias("word"), "weight")
+def language_documents(spark: SparkSession, sf: str) -> tr.ClassTerms:
+    """The documents in chunks and their terms counted by language, for queries that look for the documents nearest to a language."""
+    packed = tr.pack(by_language(spark, sf), ["doc_id", "topic_id"], class_terms(F.col("text")))
+    return tr.class_terms(packed, "topic_id", 1, answers=True)
+
+
+def language_words(spark: SparkSession, sf: str, n: int = 15, of: tr.ClassTerms | None = None) -> DataFrame:
+    """``(topic_id, word, weight)``, the shape of a topic model's word table; from counts ``of`` the documents if they are there."""
+    weights = language_weights(spark, sf) if of is None else ct.term_weights(of.rows(), "topic_id")
+    words = weights.select("topic_id", F.col("term").alias("word"), "weight")
     return cut_lineage(rk.top_words(words, n).drop("rank"))  # a few rows, which labels and prompts read several times
 
 
@@ -358,7 +366,7 @@ def topic_similarity(spark, sf):
     row_number() OVER (PARTITION BY topic_id ORDER BY round(dot / (len * z), 9) DESC, doc_id) AS rank FROM x JOIN z USING (topic_id) QUALIFY rank <= 6""",
 )
 def representative_docs_by_class(spark, sf):
-    found = nearest(spark, sf, 6)
+    found = ct.nearest_in_classes(language_documents(spark, sf), 6)
     return found.withColumns({"similarity": F.round("similarity", 6), "rank": F.col("rank").cast("long")})
 
 
