@@ -14,13 +14,16 @@ from topicloom.checks.topic_checks import (
     assigned_info,
     by_language,
     INFO_SQL,
+    language_documents,
     language_words,
-    nearest,
 )
 from topicloom.functions import labels as lb
+from topicloom.operators import ctfidf as ct
 from topicloom.operators import topics as tp
 from topicloom.operators.ranking import top_words
+from topicloom.operators.termranges import ClassTerms
 from topicloom.plans import labelling as lab
+from topicloom.session import cut_lineage
 
 # Labels: the first three words of the topics that have an even id; the others have none.
 LABELS_SQL = f"""{WORDS_SQL}, labels3 AS (SELECT topic_id, string_agg(word, ' ' ORDER BY rank) AS label FROM words WHERE rank <= 3 GROUP BY topic_id)"""
@@ -158,9 +161,10 @@ def split_label_prefix(spark, sf):
     return parts.withColumn("joined", lb.join_prefix(F.col("prefix"), F.col("body")))
 
 
-def examples(spark: SparkSession, sf: str, n: int) -> DataFrame:
+def examples(spark: SparkSession, sf: str, n: int, of: ClassTerms) -> DataFrame:
     texts = table(spark, sf, "documents").select("doc_id", "text")
-    return nearest(spark, sf, n).join(texts, "doc_id").select("topic_id", "rank", "text")
+    found = cut_lineage(ct.nearest_in_classes(of, n))  # n rows a topic, sent to the texts
+    return texts.join(F.broadcast(found), "doc_id").select("topic_id", "rank", "text")
 
 
 EXAMPLES_SQL = f"""{LISTS_SQL}, dcounts AS (SELECT doc_id, topic_id, term, count(*) AS n FROM cgrams GROUP BY ALL),
@@ -185,7 +189,8 @@ def _template_sql(template: str, **values: str) -> str:
     {_template_sql(lab.LABEL_TEMPLATE, KEYWORDS="array_to_string(k, ', ')", DOCUMENTS="d")} AS prompt FROM lists JOIN docs USING (topic_id)""",
 )
 def label_prompts(spark, sf):
-    prompts = lab.label_prompts(language_words(spark, sf), examples(spark, sf, 6), lab.CLUSTER_DOC_CHARS)
+    docs = language_documents(spark, sf)
+    prompts = lab.label_prompts(language_words(spark, sf, of=docs), examples(spark, sf, 6, docs), lab.CLUSTER_DOC_CHARS)
     return prompts.withColumn("keywords", F.array_join("keywords", ", "))
 
 
@@ -217,8 +222,9 @@ def label_prompts_by_probability(spark, sf):
 )
 def translation_prompts(spark, sf):
     """Topic 2 has no examples, so its prompt is the plain one."""
-    docs = lab.example_lists(examples(spark, sf, 3).where("topic_id <> 2"), 3)
-    lists = lab.keyword_lists(language_words(spark, sf)).join(docs, "topic_id", "left")
+    counted = language_documents(spark, sf)
+    docs = lab.example_lists(examples(spark, sf, 3, counted).where("topic_id <> 2"), 3)
+    lists = lab.keyword_lists(language_words(spark, sf, of=counted)).join(docs, "topic_id", "left")
     asked = lists.withColumns({"t": F.array_join("keywords", ", "), "docs": F.coalesce("docs", F.array().cast("array<string>"))})
     return lab.translation_prompts(asked, F.col("t"), F.col("docs")).select("topic_id", "prompt")
 
@@ -231,5 +237,6 @@ def translation_prompts(spark, sf):
 def labelled_tables(spark, sf):
     """German labels and, without a translator, the same labels as English ones."""
     docs = by_language(spark, sf).select("doc_id", F.col("topic_id").alias("dominant_topic"))
-    done = lab.run_labelling(language_words(spark, sf), docs, examples(spark, sf, 6), "bow")
+    counted = language_documents(spark, sf)
+    done = lab.run_labelling(language_words(spark, sf, of=counted), docs, examples(spark, sf, 6, counted), "bow")
     return done["de"][1].unionByName(done["en"][1])

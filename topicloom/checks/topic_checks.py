@@ -370,13 +370,6 @@ def representative_docs_by_class(spark, sf):
     return found.withColumns({"similarity": F.round("similarity", 6), "rank": F.col("rank").cast("long")})
 
 
-def nearest(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    per_doc = cut_lineage(class_counts(by_language(spark, sf), per_doc=True))
-    per_class = per_doc.groupBy("topic_id", "term").agg(F.sum("n").alias("n"))
-    weights = cut_lineage(ct.c_tf_idf(per_class, "topic_id", 1))  # read several times
-    return ct.nearest_documents(per_doc, weights, "topic_id", n)
-
-
 # Embeddings with their label as topic; label 9 stands for the outliers.
 VECTORS_SQL = """
 v AS (SELECT vec_id, CASE WHEN label = 9 THEN -1 ELSE label END::BIGINT AS topic_id, embedding::DOUBLE[] AS e FROM embeddings),
