@@ -88,6 +88,31 @@ def test_nearest_documents_equal_the_long_form(odd_docs):
     assert keep(ct.nearest_in_classes(counted, 1000)) == keep(want)
 
 
+def test_similarity_of_classes_equals_that_of_weights(odd_docs):
+    from topicloom.operators.similarity import topic_similarity
+
+    packed = tr.pack(odd_docs, ["c"], F.col("t"), whole=False)
+    weights = cut_lineage(ct.class_weights(odd_docs, "c", F.col("t"), 2))
+    got = ct.class_similarity(tr.class_terms(packed, "c", 2))
+    assert plain(got) == plain(topic_similarity(weights, "c")) and got.count() == 9
+    left, right = (weights.select(F.col("c").alias(f"topic_{s}"), "term", F.col("weight").alias(s)) for s in "ab")
+    size = lambda s: F.sqrt(F.sum(F.col(s) * F.col(s)))
+    sizes = {r[0]: r[1] for r in left.groupBy("topic_a").agg(size("a")).collect()}
+    for r in left.join(right, "term").groupBy("topic_a", "topic_b").agg(F.sum(F.col("a") * F.col("b")).alias("dot")).collect():
+        there = got.where((F.col("topic_a") == r["topic_a"]) & (F.col("topic_b") == r["topic_b"])).first()
+        assert there["similarity"] == pytest.approx(r["dot"] / sizes[r["topic_a"]] / sizes[r["topic_b"]])
+
+
+def test_rows_of_one_topic_and_term_meet_in_both_orders(spark):
+    from topicloom.operators.similarity import topic_similarity
+
+    rows = [(1, "x", 1.0), (1, "x", 2.0), (2, "x", 3.0), (2, "y", 4.0), (None, "x", 1.0), (3, None, 1.0), (4, "y", 0.0)]
+    got = topic_similarity(spark.createDataFrame(rows, "topic_id long, term string, weight double"))
+    assert {(r[0], r[1]): round(r[2], 9) for r in got.collect()} == {
+        (1, 1): round(9 / 5, 9), (1, 2): round(9 / 5**0.5 / 5, 9), (2, 1): round(9 / 5**0.5 / 5, 9), (2, 2): 1.0
+    }
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, c string, t array<string>")
     found = tr.vocabulary(tr.pack(df, ["doc_id"], F.col("t")), 0)

@@ -352,8 +352,8 @@ def topic_relevance(spark, sf):
     SELECT a.source AS topic_a, b.source AS topic_b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b USING (term) GROUP BY ALL""",
 )
 def topic_similarity(spark, sf):
-    weights = ct.c_tf_idf(class_counts(by_language(spark, sf), "source"), "source", 2)
-    return sm.topic_similarity(weights, "source").withColumn("similarity", F.round("similarity", 6))
+    packed = tr.pack(by_language(spark, sf), ["source"], class_terms(F.col("text")), whole=False)
+    return ct.class_similarity(tr.class_terms(packed, "source", 2)).withColumn("similarity", F.round("similarity", 6))
 
 
 @check(
