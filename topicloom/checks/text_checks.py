@@ -283,7 +283,9 @@ def mean_tfidf_top(spark, sf):
     SELECT doc_id, string_agg(term, '|' ORDER BY pos) AS terms FROM pos SEMI JOIN vocab USING (term) GROUP BY doc_id""",
 )
 def tokens_in_vocab(spark, sf):
-    return learned(spark, sf).sequences().select("doc_id", F.array_join("tokens", "|").alias("terms"))
+    found = learned(spark, sf)
+    cut_lineage(found.rows())  # the query leaves its vocabulary as a table of its own, as before
+    return found.sequences().select("doc_id", F.array_join("tokens", "|").alias("terms"))
 
 
 @check("term_doc_collection_freq", f"WITH {q.TERMS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM bow GROUP BY term")
