@@ -135,3 +135,29 @@ def test_nulls_in_lists_are_refused(spark):
     df = spark.createDataFrame([(1, ["x", None])], "doc_id long, t array<string>")
     with pytest.raises(Exception, match="holds a null"):
         tr.pack(df, ["doc_id"], F.col("t"))
+
+
+def test_hits_of_words_are_shuffled_once(spark):
+    """By document and topic, which every later step of a document's stretches can use."""
+    from topicloom.operators.coherence import window_sets
+
+    places = spark.createDataFrame([(1, 3, 0, "a"), (1, 3, 2, "b")], "doc long, length int, p int, word string")
+    words = spark.createDataFrame([(0, "a", 0), (0, "b", 1)], "topic_id int, word string, bit int")
+    plan = window_sets(places, F.broadcast(words), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # and one for the sums
+
+
+def test_lda_reads_its_corpus_from_chunks(spark):
+    """Rows and token lists are made where they are read; before, each was written and terms were shuffled for both."""
+    from topicloom.operators import lda
+    from topicloom.plans import pipeline as pl
+
+    rows = [(i if i else None, "lampe defekt lampe" if i % 2 else "brunnen wasser defekt") for i in range(40)]
+    corpus = pl.vectorise_corpus(spark.createDataFrame(rows, "doc_id int, strong_text string"))
+    settings = lda.LdaSettings(passes=2)
+    numbered = corpus.terms.numbered()
+    buckets = lda.deal(corpus.terms.sparse_rows(), numbered.count(), settings, n_rows=corpus.n_docs)
+    assert sum(buckets.sizes) == 40 and buckets.named == 39
+    run = pl.run_lda(corpus, ("bow",), auto_k=False, k=2, settings=settings)["bow"]
+    assert run.info.first()["n_docs"] == 39 and run.doc_topics.count() == 40
+    assert {r["word"] for r in run.topic_words.collect()} <= {r["term"] for r in corpus.vocabulary.collect()}
