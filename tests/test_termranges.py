@@ -158,6 +158,9 @@ def test_lda_reads_its_corpus_from_chunks(spark):
     numbered = corpus.terms.numbered()
     buckets = lda.deal(corpus.terms.sparse_rows(), numbered.count(), settings, n_rows=corpus.n_docs)
     assert sum(buckets.sizes) == 40 and buckets.named == 39
+    some = lda.deal(corpus.terms.sparse_rows(), numbered.count(), settings, n_rows=corpus.n_docs, variants=("bow",))
+    assert spark.read.parquet(some.path).columns == ["terms", "bow", "named", "bucket"]
+    assert plain(some.read(1, "bow")) == plain(buckets.read(1, "bow"))
     run = pl.run_lda(corpus, ("bow",), auto_k=False, k=2, settings=settings)["bow"]
     assert run.info.first()["n_docs"] == 39 and run.doc_topics.count() == 40
     assert {r["word"] for r in run.topic_words.collect()} <= {r["term"] for r in corpus.vocabulary.collect()}
